@@ -48,8 +48,9 @@ BLOCK_TIME_PATTERN = "yyyy-MM-dd HH:mm:ss.SSS z"
 # --- engine thresholds (ours) ------------------------------------------------
 # Canonical exact type for money; sums stay exact and are cast to DOUBLE last.
 MONEY_TYPE = "decimal(38,18)"
-# A membership list up to this many values becomes an IN-set (pushed to the scan).
-INLIST_MAX = 5_000
+# A membership list up to this many values becomes an IN-set literal; larger
+# lists are joined (an IN-set of thousands of literals costs seconds of planning).
+INLIST_MAX = 128
 # A relation up to this many rows may be broadcast (checked before use).
 BROADCAST_MAX_ROWS = 2_000_000
 # An ordered window whose largest partition has at most this many rows runs

@@ -50,7 +50,7 @@ def money(c, data_type: T.DataType | None = None, safe: bool = False) -> Column:
         col = F.when(F.isnan(col), F.lit(None)).otherwise(col)
     if isinstance(data_type, T.StringType):
         col = F.when(F.lower(F.trim(col)) == "nan", F.lit(None)).otherwise(F.trim(col))
-    return F.try_cast(col, C.MONEY_TYPE) if safe else col.cast(C.MONEY_TYPE)
+    return col.try_cast(C.MONEY_TYPE) if safe else col.cast(C.MONEY_TYPE)
 
 
 # --- X12: block time text -> epoch milliseconds -----------------------------

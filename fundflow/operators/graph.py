@@ -160,18 +160,34 @@ def edges(actions: DataFrame) -> DataFrame:
     )
 
 
-def edges_with_roles(edges_df: DataFrame, nodes_df: DataFrame) -> DataFrame:
-    """Each edge with its sender's and receiver's role.
+def special_roles(nodes_df: DataFrame) -> DataFrame:
+    """Wallets whose role is not the default, as ``(address, role)``.
+
+    Only listed wallets (attackers, vaults, hops) carry such a role, so this
+    relation is as small as the role lists; it is broadcast after a check.
+    """
+    r = nodes_df.where(F.col("role") != C.ROLE_DEFAULT).select(F.col("id").alias("address"), "role")
+    return F.broadcast(r) if rows_at_most(r, C.BROADCAST_MAX_ROWS) else r
+
 
-    ``nodes`` has one row per wallet; it is joined twice (sender, receiver).
+def with_roles(df: DataFrame, nodes_df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Add one role column per ``(address column, role column)`` pair.
+
+    Looks up the small non-default role table (broadcast hash joins, no
+    shuffle of ``df``); any other wallet gets the default role.
     """
-    r = nodes_df.select(F.col("id").alias("_n_id"), F.col("role").alias("_n_role"))
-    out = (edges_df.join(r, F.col("from") == F.col("_n_id"), "left")
-           .withColumnRenamed("_n_role", "from_role").drop("_n_id"))
-    out = (out.join(r, F.col("to") == F.col("_n_id"), "left")
-           .withColumnRenamed("_n_role", "to_role").drop("_n_id"))
-    return out.withColumn("from_role", F.coalesce("from_role", F.lit(C.ROLE_DEFAULT))) \
-              .withColumn("to_role", F.coalesce("to_role", F.lit(C.ROLE_DEFAULT)))
+    roles = special_roles(nodes_df)
+    for addr, name in pairs:
+        r = roles.select(F.col("address").alias(f"_r_{name}"), F.col("role").alias(f"_v_{name}"))
+        df = (df.join(r, F.col(addr) == F.col(f"_r_{name}"), "left")
+                .withColumn(name, F.coalesce(F.col(f"_v_{name}"), F.lit(C.ROLE_DEFAULT)))
+                .drop(f"_r_{name}", f"_v_{name}"))
+    return df
+
+
+def edges_with_roles(edges_df: DataFrame, nodes_df: DataFrame) -> DataFrame:
+    """Each edge with its sender's and receiver's role."""
+    return with_roles(edges_df, nodes_df, ("from", "from_role"), ("to", "to_role"))
 
 
 # --- F5-F7: look-ups ------------------------------------------------------------

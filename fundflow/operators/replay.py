@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from .. import functions as X
 from .. import schema as S
+from .graph import with_roles
 from .sequence import running
 
 SEND_RANK, RECEIVE_RANK = 0, 1   # the sender is created before the receiver
@@ -89,13 +90,20 @@ def time_bounds(tl: DataFrame) -> DataFrame:
 
 
 class Clock:
-    """Start, end and span of a timeline as lazily evaluated scalar subqueries."""
+    """Start, end and span of a timeline.
+
+    The bounds are one global aggregate (partial per task, one row to the
+    driver), evaluated once and then used as literals, so a replay plan
+    carries no repeated subqueries over the timeline.
+    """
 
     def __init__(self, tl: DataFrame):
-        b = time_bounds(tl)
-        self.start = b.select("start_ms").scalar()
-        self.end = b.select("end_ms").scalar()
-        self.span = b.select("span_ms").scalar()
+        b = time_bounds(tl).first()
+        self.empty = b is None or b.start_ms is None
+        lit = lambda v: F.lit(v).cast("bigint")
+        self.start = lit(None if self.empty else b.start_ms)
+        self.end = lit(None if self.empty else b.end_ms)
+        self.span = lit(1 if self.empty else b.span_ms)
 
     def at(self, position: int, n: int = C.FRAME_COUNT) -> Column:
         """Clock time of slider position ``position`` (DOUBLE ms)."""
@@ -258,10 +266,8 @@ def snapshot(tl: DataFrame, nodes_df: DataFrame, t=None, position: int | None =
         F.sum("_one").cast("bigint").alias("txns"),
         F.sum("_s").cast("double").alias("sent"),
         F.sum("_r").cast("double").alias("received"))
-    roles = nodes_df.select(F.col("id").alias("address"), "role")
-    return (per.join(roles, "address", "left")
-               .select("address", F.coalesce("role", F.lit(C.ROLE_DEFAULT)).alias("role"),
-                       "txns", "sent", "received"))
+    return with_roles(per, nodes_df, ("address", "role")).select(
+        "address", "role", "txns", "sent", "received")
 
 
 # --- T3, T6 ----------------------------------------------------------------------
@@ -276,9 +282,15 @@ def frames(tl: DataFrame, nodes_df: DataFrame, n: int = C.FRAME_COUNT) -> DataFr
     Per position: clock time, events consumed, ETH, laundered ETH, wallets
     visible (seen by then, plus all attackers from position 0) and transfers
     in flight (started, not yet 10 h old).
+
+    Two aggregations over the events, each keyed by grid position (at most
+    n + 1 groups, partial aggregation first): one over event rows (start and
+    settle markers from one ``explode``), one over first sightings of
+    wallets.  A cumulative window then runs over the n + 1 grid rows only.
     """
     spark = tl.sparkSession
     clock = Clock(tl)
+    zero = F.lit(0).cast(C.MONEY_TYPE)
     ev = tl.select(
         ((F.col("ts_ms") - clock.start) * F.lit(n)).alias("_rel"),
         ((F.col("ts_ms") + F.lit(C.SETTLE_MS) - clock.start) * F.lit(n)).alias("_rel_settle"),
@@ -287,24 +299,25 @@ def frames(tl: DataFrame, nodes_df: DataFrame, n: int = C.FRAME_COUNT) -> DataFr
                    _ceil_div("_rel_settle", "_span").alias("settle"),
                    "amount", "label", "from", "to")
 
-    started = ev.groupBy("frame").agg(
-        F.count(F.lit(1)).alias("_events"),
-        F.sum("amount").alias("_eth"),
-        F.sum(_laundered()).alias("_laundered"))
-    settled = (ev.where(F.col("settle") <= n).groupBy(F.col("settle").alias("frame"))
-                 .agg(F.count(F.lit(1)).alias("_settled")))
+    marker = lambda frame, started, amount, laundered, settled: F.struct(
+        frame.alias("frame"), F.lit(started).alias("started"), amount.alias("amount"),
+        laundered.alias("laundered"), F.lit(settled).alias("settled"))
+    marks = ev.select(F.explode(F.array(
+        marker(F.col("frame"), 1, F.col("amount"), _laundered(), 0),
+        marker(F.col("settle"), 0, zero, zero, 1))).alias("m")).select("m.*")
+    per_frame = (marks.where(F.col("frame") <= n).groupBy("frame").agg(
+        F.sum("started").alias("_events"), F.sum("amount").alias("_eth"),
+        F.sum("laundered").alias("_laundered"), F.sum("settled").alias("_settled")))
+
     ends = ev.select("frame", F.explode(F.array(F.col("from"), F.col("to"))).alias("address"))
     ends = ends.unionByName(_attackers(nodes_df).select(F.lit(0).cast("bigint").alias("frame"), "address"))
     first = (ends.where(F.col("address").isNotNull()).groupBy("address").agg(F.min("frame").alias("frame"))
                  .groupBy("frame").agg(F.count(F.lit(1)).alias("_new_wallets")))
 
     grid = spark.range(0, n + 1).select(F.col("id").alias("frame"))
-    # All right-hand sides have at most n + 1 rows (one per grid position).
-    g = (grid.join(F.broadcast(started), "frame", "left")
-             .join(F.broadcast(settled), "frame", "left")
-             .join(F.broadcast(first), "frame", "left"))
+    # Both right-hand sides have at most n + 1 rows (one per grid position).
+    g = grid.join(F.broadcast(per_frame), "frame", "left").join(F.broadcast(first), "frame", "left")
     upto = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    zero = F.lit(0).cast(C.MONEY_TYPE)
     cum = g.select(
         "frame",
         F.sum(F.coalesce("_events", F.lit(0))).over(upto).alias("events"),

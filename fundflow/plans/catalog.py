@@ -28,7 +28,7 @@ DEFAULT_PROFILE = "scale"
 AS_OF_POSITION = 500      # slider position used by the as-of queries (mid-way)
 
 
-class Pipeline:
+class Stages:
     """Lazily built stages of the fund-flow pipeline over one input set."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, profile: str = DEFAULT_PROFILE):
@@ -86,27 +86,27 @@ def most_traced_hash(tl: DataFrame):
               .orderBy(F.col("n").desc(), F.col("hash")).limit(1).select("hash").scalar())
 
 
-def _roundtrip_actions(p: Pipeline) -> DataFrame:
+def _roundtrip_actions(p: Stages) -> DataFrame:
     path = scratch_path(p.spark, "actions")
     sinks.write_actions(p.actions, path)
     return readers.scan_actions(p.spark, path)
 
 
-def _roundtrip_graph(p: Pipeline, single_doc: bool) -> tuple[DataFrame, DataFrame]:
+def _roundtrip_graph(p: Stages, single_doc: bool) -> tuple[DataFrame, DataFrame]:
     path = scratch_path(p.spark, "graph")
     sinks.write_graph(p.nodes, p.edges, path, single_doc=single_doc)
     return readers.read_graph(p.spark, path, single_doc=single_doc)
 
 
 # --- the catalog ------------------------------------------------------------------
-def _q(fn: Callable[[Pipeline], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _q(fn: Callable[[Stages], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(fn(Pipeline(spark, sf_dir)))
+        return present(fn(Stages(spark, sf_dir)))
     run.__doc__ = fn.__doc__
     return run
 
 
-QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
+QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     # sources / sinks
     "S1_scan_transfers": lambda p: p.inputs.transfers,
     "S2_scan_transactions": lambda p: p.inputs.transactions,

@@ -1,0 +1,9 @@
+"""No streaming operators.
+
+The traced pipeline is batch only: it has no stream source, watermark,
+window or state store, and its "simulate" mode advances a virtual clock over
+an already loaded, sorted array.  That clock's data meaning is built as
+batch queries in ``fundflow.operators.replay`` (as-of snapshots, running
+totals, the slider grid, activation and in-flight state), so this package
+intentionally holds no operator.
+"""

@@ -3,12 +3,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
-from fundflow.plans.catalog import Pipeline
+from fundflow.plans.catalog import Stages
 
 
 @pytest.fixture(scope="module")
 def p(spark):
-    pipe = Pipeline(spark, SF01)
+    pipe = Stages(spark, SF01)
     pipe.actions.cache()
     yield pipe
     pipe.actions.unpersist()

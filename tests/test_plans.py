@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from conftest import SF001
 from fundflow.operators import actions as A
 from fundflow.operators.membership import Membership
-from fundflow.plans.catalog import Pipeline
+from fundflow.plans.catalog import Stages
 from fundflow.session import scratch_path
 from fundflow.sources import readers
 
@@ -15,14 +15,14 @@ def plan(df) -> str:
 
 
 def test_watch_semi_is_broadcast(spark):
-    p = Pipeline(spark, SF001)
+    p = Stages(spark, SF001)
     df = A.mutual_transfers(p.inputs.transfers, Membership(p.inputs.watchlist, mode="broadcast"))
     s = plan(df)
     assert "BroadcastHashJoin" in s and "LeftSemi" in s
 
 
 def test_small_list_is_in_set_filter(spark):
-    p = Pipeline(spark, SF001)
+    p = Stages(spark, SF001)
     m = Membership(p.inputs.vaults)
     assert m.mode == "inlist"
     s = plan(A.mutual_transfers(p.inputs.transfers, m))
@@ -36,7 +36,7 @@ def test_no_cartesian_product(spark, key):
 
 
 def test_transaction_scan_is_pruned(spark):
-    p = Pipeline(spark, SF001)
+    p = Stages(spark, SF001)
     path = scratch_path(spark, "t-tx")
     p.inputs.transactions.write.parquet(path)
     tx = readers.scan_transactions(spark, path)
@@ -48,7 +48,7 @@ def test_transaction_scan_is_pruned(spark):
 
 def test_ranged_strategy_has_no_single_partition_exchange(spark):
     from fundflow.operators import replay as R
-    p = Pipeline(spark, SF001)
+    p = Stages(spark, SF001)
     s = plan(R.running_totals(p.timeline, strategy="ranged"))
     body = [ln for ln in s.splitlines() if "Exchange SinglePartition" in ln]
     # only the tiny aggregates may gather into one partition, never event rows

@@ -2,7 +2,7 @@
 import pytest
 
 from conftest import SF001
-from fundflow.plans.catalog import Pipeline
+from fundflow.plans.catalog import Stages
 from fundflow.session import scratch_path
 from fundflow.sources import readers, sinks
 
@@ -13,7 +13,7 @@ def _same(a, b):
 
 
 def test_actions_roundtrip(spark):
-    p = Pipeline(spark, SF001)
+    p = Stages(spark, SF001)
     path = scratch_path(spark, "t-actions")
     sinks.write_actions(p.actions, path)
     _same(readers.scan_actions(spark, path), p.actions)
@@ -21,7 +21,7 @@ def test_actions_roundtrip(spark):
 
 @pytest.mark.parametrize("single_doc", [False, True])
 def test_graph_roundtrip(spark, single_doc):
-    p = Pipeline(spark, SF001)
+    p = Stages(spark, SF001)
     path = scratch_path(spark, "t-graph")
     sinks.write_graph(p.nodes, p.edges, path, single_doc=single_doc)
     nodes, edges = readers.read_graph(spark, path, single_doc=single_doc)
@@ -32,7 +32,7 @@ def test_graph_roundtrip(spark, single_doc):
 def test_single_doc_is_one_json_document(spark):
     import glob
     import json
-    p = Pipeline(spark, SF001)
+    p = Stages(spark, SF001)
     path = scratch_path(spark, "t-doc")
     sinks.write_graph(p.nodes, p.edges, path, single_doc=True)
     local = path.removeprefix("file:")

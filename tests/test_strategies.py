@@ -45,8 +45,8 @@ def test_global_running_agrees(spark):
 
 def test_replay_windows_agree_on_driver_data(spark):
     from conftest import SF001
-    from fundflow.plans.catalog import Pipeline
-    p = Pipeline(spark, SF001)
+    from fundflow.plans.catalog import Stages
+    p = Stages(spark, SF001)
     tl = p.timeline.cache()
     for fn, cols in ((R.global_sequence, ["hash", "idx"]),
                      (R.running_totals, ["hash", "tx_number", "cum_eth", "cum_laundered"]),

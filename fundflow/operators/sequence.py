@@ -23,7 +23,8 @@ Two physical strategies give the same result:
        ``checkpoint()`` in the shared checkpoint folder (sampled range
        bounds are not stable across recomputation, and executors can be
        lost);
-    3. local window per (partition id, group), balanced by construction;
+    3. local window per (partition id, group), one range partition per
+       task (a range exchange on the partition id), balanced by construction;
     4. a group spans several partitions only across partition boundaries,
        so only the first and last group of each partition need an offset:
        their counts and sums (at most 2 x partitions rows) give exclusive
@@ -84,10 +85,15 @@ def _ranged(df, order_by, partition_by, sums, seq, partitions):
 
     key = F.struct(*_cols(partition_by)) if partition_by else F.lit(0)
     ranged = ranged.withColumn("_key", key)
+    # One reducer per range partition for the local window: a range exchange
+    # on the partition id (a hash of N ids into N buckets would collide and
+    # stack several partitions on one task).  It also satisfies the window's
+    # clustering on (_pid, _key), so the window adds no exchange of its own.
+    by_pid = ranged.repartitionByRange(n, "_pid")
 
     local_w = Window.partitionBy("_pid", "_key").orderBy(*order, F.col("_uid"))
     local_f = local_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select("*", F.row_number().over(local_w).cast("bigint").alias("_n"),
+    local = by_pid.select("*", F.row_number().over(local_w).cast("bigint").alias("_n"),
                           *[F.sum(f"_v_{name}").over(local_f).alias(f"_r_{name}") for name in sums])
 
     # First and last group of each partition: at most 2 rows per partition.

@@ -45,7 +45,7 @@ transfers AS (
          CASE WHEN l_returnflag = 'R' THEN {vault.format(k='l_suppkey')}
               ELSE {wallet.format(k=receiver)} END AS to_address,
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(38,18)) AS amount,
-         CAST(l_extendedprice AS DECIMAL(38,18)) AS amount_usd
+         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(38,18)) AS amount_usd
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 transactions AS (
   SELECT {hsh.format(k='o_orderkey')} AS hash,
@@ -370,6 +370,39 @@ SELECT hash, "from", "to", ts_ms, strftime(epoch_ms(ts_ms), '%b %d %H:%M') AS ti
 }
 
 
+def exact_double_casts(sql: str) -> str:
+    """Rewrite ``CAST(x AS DOUBLE)`` as ``CAST(CAST(x AS VARCHAR) AS DOUBLE)``.
+
+    DuckDB converts a DECIMAL(38,18) to DOUBLE in two rounding steps, which
+    can miss the nearest double by one unit in the last place; parsing the
+    exact decimal text is correctly rounded, as Spark's conversion is.
+    Integer and double inputs are unchanged by the detour.
+    """
+    out, i = [], 0
+    while True:
+        j = sql.find("CAST(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + 4
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = sql[j + 5:k]
+        out.append(sql[i:j])
+        if inner.endswith(" AS DOUBLE"):
+            expr = exact_double_casts(inner[: -len(" AS DOUBLE")])
+            out.append(f"CAST(CAST({expr} AS VARCHAR) AS DOUBLE)")
+        else:
+            out.append("CAST(" + exact_double_casts(inner) + ")")
+        i = k + 1
+
+
 def oracle_sql(profile: str = "scale") -> dict[str, str]:
     head = _with(profile)
-    return {k: head + body.strip() for k, body in BODIES.items()}
+    return {k: exact_double_casts(head + body.strip()) for k, body in BODIES.items()}

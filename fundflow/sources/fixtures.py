@@ -95,7 +95,9 @@ def load(spark: SparkSession, sf_dir: str, profile: str = "scale") -> Inputs:
              .otherwise(wallet_address(receiver_key)).alias("to_address"),
             (F.col("l_extendedprice").cast("decimal(18,2)") * F.lit(0.01).cast("decimal(3,2)"))
             .cast(C.MONEY_TYPE).alias("amount"),
-            F.col("l_extendedprice").cast(C.MONEY_TYPE).alias("amount_usd"),
+            # to the cent first: engines differ in how a binary double widens
+            # to 18 decimals, not in how it rounds to 2
+            F.col("l_extendedprice").cast("decimal(18,2)").cast(C.MONEY_TYPE).alias("amount_usd"),
         )
     )
 

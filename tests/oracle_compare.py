@@ -2,7 +2,7 @@
 
 Mirrors the driver's gate: same column names, same row count, same values
 (order-insensitive; columns sorted by name).  DOUBLE values are compared
-after rounding to 9 significant digits.
+exactly, bit for bit.
 """
 from __future__ import annotations
 
@@ -25,9 +25,9 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return float(f"{v:.9g}")
+        return v
     if isinstance(v, Decimal):
-        return float(f"{float(v):.9g}")
+        return float(v)
     return v
 
 

@@ -56,5 +56,3 @@ BROADCAST_MAX_ROWS = 2_000_000
 # An ordered window whose largest partition has at most this many rows runs
 # as a plain window; larger ones use range partitioning + offsets.
 LOCAL_WINDOW_MAX_ROWS = 1_000_000
-# Rows allowed in a single JSON document (graph.json compatibility sink).
-SINGLE_DOC_MAX_ROWS = 1_000_000

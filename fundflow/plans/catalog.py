@@ -92,10 +92,10 @@ def _roundtrip_actions(p: Stages) -> DataFrame:
     return readers.scan_actions(p.spark, path)
 
 
-def _roundtrip_graph(p: Stages, single_doc: bool) -> tuple[DataFrame, DataFrame]:
+def _roundtrip_graph(p: Stages) -> tuple[DataFrame, DataFrame]:
     path = scratch_path(p.spark, "graph")
-    sinks.write_graph(p.nodes, p.edges, path, single_doc=single_doc)
-    return readers.read_graph(p.spark, path, single_doc=single_doc)
+    sinks.write_graph(p.nodes, p.edges, path)
+    return readers.read_graph(p.spark, path)
 
 
 # --- the catalog ------------------------------------------------------------------
@@ -115,8 +115,8 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "S5_roles": lambda p: p.inputs.roles,
     "S6_write_actions": _roundtrip_actions,
     "S7_scan_actions": _roundtrip_actions,
-    "S8_write_graph": lambda p: _roundtrip_graph(p, single_doc=False)[0],
-    "S9_read_graph": lambda p: _roundtrip_graph(p, single_doc=True)[1],
+    "S8_write_graph": lambda p: _roundtrip_graph(p)[0],
+    "S9_read_graph": lambda p: _roundtrip_graph(p)[1],
     "S10_preview": lambda p: sinks.preview(p.actions.orderBy(
         "block_time", "tx_hash", "from_address", "to_address", "amount", "label")),
     # projections / filters

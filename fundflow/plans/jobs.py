@@ -2,9 +2,8 @@
 
 ``extract``  transfers + transactions -> ``<out>/actions`` (Parquet), then a
              5-row preview read back from the written data (no recompute).
-``graph``    actions -> ``<out>/graph/{nodes,edges}`` (JSON lines; or one
-             ``graph.json`` document with ``--single-doc`` for small graphs),
-             role counts and totals printed.
+``graph``    actions -> ``<out>/graph/{nodes,edges}`` (JSON lines), role
+             counts and totals printed.
 ``replay``   actions -> ``<out>/replay/{timeline,frames,activation,running,
              pair_sequence,lanes}`` (Parquet).  The timeline is written once
              and read back, so every replay output starts from a stored table
@@ -50,20 +49,20 @@ def extract(spark: SparkSession, transfers_path: str, transactions_path: str, ou
     return written
 
 
-def build_graph(spark: SparkSession, out: str, attackers=None, vaults=None, hops=None,
-                single_doc: bool = False) -> tuple[DataFrame, DataFrame]:
+def build_graph(spark: SparkSession, out: str, attackers=None, vaults=None,
+                hops=None) -> tuple[DataFrame, DataFrame]:
     actions = readers.scan_actions(spark, f"{out}/actions")
     roles = lists.roles(spark, attackers=attackers or presets.ATTACKERS,
                         vaults=vaults or presets.VAULTS, hops=hops or presets.HOPS)
     nodes, edges = G.nodes(actions, roles), G.edges(actions)
-    sinks.write_graph(nodes, edges, f"{out}/graph", single_doc=single_doc)
-    nodes, edges = readers.read_graph(spark, f"{out}/graph", single_doc=single_doc)
+    sinks.write_graph(nodes, edges, f"{out}/graph")
+    nodes, edges = readers.read_graph(spark, f"{out}/graph")
     G.graph_summary(nodes, edges).show(truncate=False)
     return nodes, edges
 
 
-def replay(spark: SparkSession, out: str, single_doc: bool = False) -> None:
-    nodes, edges = readers.read_graph(spark, f"{out}/graph", single_doc=single_doc)
+def replay(spark: SparkSession, out: str) -> None:
+    nodes, edges = readers.read_graph(spark, f"{out}/graph")
     base = f"{out}/replay"
     R.timeline_order(R.timeline(edges)).write.mode("overwrite").parquet(f"{base}/timeline")
     tl = spark.read.parquet(f"{base}/timeline")
@@ -91,7 +90,6 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--vaults")
     ap.add_argument("--attackers")
     ap.add_argument("--hops")
-    ap.add_argument("--single-doc", action="store_true")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = get_session("fundflow", master=a.master)
@@ -100,9 +98,9 @@ def main(argv: list[str] | None = None) -> int:
             ap.error("extract needs --transfers and --transactions")
         extract(spark, a.transfers, a.transactions, a.out, a.watchlist, a.vaults)
     if a.command in ("graph", "all"):
-        build_graph(spark, a.out, a.attackers, a.vaults, a.hops, a.single_doc)
+        build_graph(spark, a.out, a.attackers, a.vaults, a.hops)
     if a.command in ("replay", "all"):
-        replay(spark, a.out, a.single_doc)
+        replay(spark, a.out)
     return 0
 
 

@@ -36,12 +36,6 @@ EDGES = T.StructType([
     T.StructField("label", T.StringType()),
 ])
 
-# graph.json: {"nodes": [...], "edges": [...]}
-GRAPH_DOC = T.StructType([
-    T.StructField("nodes", T.ArrayType(NODES)),
-    T.StructField("edges", T.ArrayType(EDGES)),
-])
-
 TIMELINE_COLUMNS = ["from", "to", "amount", "ts_ms", "label", "hash"]
 # Total order of events: time first, then every other field (Spark sorts are
 # not stable, so ties are broken by value; exact duplicates are interchangeable).

@@ -65,19 +65,13 @@ def scan_actions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.ACTIONS).parquet(path)
 
 
-def read_graph(spark: SparkSession, path: str, single_doc: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a written graph.
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph written by ``write_graph``.
 
-    Default layout is two datasets ``<path>/nodes`` and ``<path>/edges``
-    (JSON lines).  ``single_doc=True`` reads one ``{nodes, edges}`` document;
-    missing arrays read as empty.
+    Two JSON-lines datasets ``<path>/nodes`` and ``<path>/edges``, read with
+    their schema given (no inference pass), split across tasks like any
+    line-oriented input.
     """
-    if not single_doc:
-        nodes = spark.read.schema(S.NODES).json(f"{path}/nodes")
-        edges = spark.read.schema(S.EDGES).json(f"{path}/edges")
-        return nodes, edges
-    doc = spark.read.schema(S.GRAPH_DOC).option("multiLine", True).json(path)
-    nodes = doc.select(F.inline_outer("nodes")).where(F.col("id").isNotNull())
-    edges = doc.select(F.inline_outer("edges")).where(
-        F.col("from").isNotNull() | F.col("to").isNotNull() | F.col("tx_hash").isNotNull())
+    nodes = spark.read.schema(S.NODES).json(f"{path}/nodes")
+    edges = spark.read.schema(S.EDGES).json(f"{path}/edges")
     return nodes, edges

@@ -1,16 +1,11 @@
 """Sinks: S6 write_actions, S8 write_graph, S10 preview.
 
-Writes are distributed (one file per task); the single-document graph form
-exists for small graphs only and is guarded by a checked row count.
+Writes are distributed (one file per task).
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .. import config as C
 from .. import schema as S
-from ..operators.sizing import rows_at_most
 
 
 def write_actions(actions: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -18,28 +13,16 @@ def write_actions(actions: DataFrame, path: str, mode: str = "overwrite") -> Non
     actions.select(*S.ACTION_COLUMNS).write.mode(mode).parquet(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, single_doc: bool = False,
-                mode: str = "overwrite") -> None:
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The graph as two JSON-lines datasets ``<path>/nodes`` and ``<path>/edges``.
 
-    ``single_doc=True`` writes one ``{"nodes": [...], "edges": [...]}``
-    document (the view's ``graph.json``).  That passes every row through one
-    task, so it is refused above ``SINGLE_DOC_MAX_ROWS`` rows.  Nulls are
-    written as JSON null, never dropped or written as NaN.
+    Each task writes its own part files.  Nulls are written as JSON null
+    (never dropped, never NaN).  A single ``{"nodes": [...], "edges": [...]}``
+    document is not offered: it would pass the whole graph through one task.
     """
     opts = {"ignoreNullFields": "false"}
-    if not single_doc:
-        nodes.write.mode(mode).options(**opts).json(f"{path}/nodes")
-        edges.write.mode(mode).options(**opts).json(f"{path}/edges")
-        return
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        if not rows_at_most(df, C.SINGLE_DOC_MAX_ROWS):
-            raise ValueError(f"{name} has more than {C.SINGLE_DOC_MAX_ROWS} rows; "
-                             "write the two-dataset layout instead")
-    n = nodes.agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
-    e = edges.agg(F.collect_list(F.struct(*edges.columns)).alias("edges"))
-    doc = n.select("nodes", e.select("edges").scalar().alias("edges"))
-    doc.coalesce(1).write.mode(mode).options(**opts).json(path)
+    nodes.write.mode(mode).options(**opts).json(f"{path}/nodes")
+    edges.write.mode(mode).options(**opts).json(f"{path}/edges")
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:

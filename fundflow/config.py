@@ -52,7 +52,7 @@ MONEY_TYPE = "decimal(38,18)"
 # lists are joined (an IN-set of thousands of literals costs seconds of planning).
 INLIST_MAX = 128
 # A relation up to this many rows may be broadcast (checked before use).
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 1_000_000
 # An ordered window whose largest partition has at most this many rows runs
 # as a plain window; larger ones use range partitioning + offsets.
 LOCAL_WINDOW_MAX_ROWS = 1_000_000

@@ -16,9 +16,10 @@ Two physical strategies give the same result:
     for any size and any key skew (also the global order, which is one
     group):
 
-    1. range-partition on ``(partition_by, order_by, _uid)``; ``_uid`` (a
-       generated id) breaks ties so even a key holding a third of all rows,
-       or many identical rows, is cut across partitions;
+    1. range-partition on ``(partition_by, order_by, _uid)``: the order
+       columns cut a key holding a third of all rows across partitions, and
+       ``_uid`` (an id assigned after a per-partition sort on all columns,
+       so it is the same on recomputation) also cuts runs of identical rows;
     2. tag every row with its partition id and freeze that with a reliable
        ``checkpoint()`` in the shared checkpoint folder (sampled range
        bounds are not stable across recomputation, and executors can be
@@ -77,8 +78,15 @@ def _ranged(df, order_by, partition_by, sums, seq, partitions):
     order = _cols(order_by)
 
     # Sum inputs are materialised as columns so the checkpoint carries them.
-    staged = df.select("*", *[e.alias(f"_v_{name}") for name, e in sums.items()],
-                       F.monotonically_increasing_id().alias("_uid"))
+    # The tie-breaker id is assigned after sorting each input partition by
+    # every column: a partition's rows are a fixed multiset even when their
+    # arrival order is not (shuffle reads), and rows that sort equal are
+    # identical, so a recomputed task (lost executor) yields the same
+    # (row, id) pairs and sends every row to the same range partition.
+    keyed = [c for c in df.columns if c not in partition_by]
+    staged = (df.select("*", *[e.alias(f"_v_{name}") for name, e in sums.items()])
+                .sortWithinPartitions(*_cols(partition_by), *order, *[F.col(c) for c in keyed])
+                .withColumn("_uid", F.monotonically_increasing_id()))
     ranged = (staged.repartitionByRange(n, *_cols(partition_by), *order, F.col("_uid"))
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))

@@ -20,7 +20,9 @@ def largest_group_at_most(df: DataFrame, keys: list, limit: int) -> bool:
     With no keys the whole frame is one group.  The grouped count runs with
     partial aggregation, so a hot key does not concentrate rows.
     """
+    if rows_at_most(df, limit):          # early-stopping scan, no shuffle
+        return True
     if not keys:
-        return rows_at_most(df, limit)
+        return False
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     return big.limit(1).count() == 0

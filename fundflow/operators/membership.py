@@ -20,7 +20,7 @@ class Membership:
     def __init__(self, relation: DataFrame, column: str = "address",
                  inlist_max: int = C.INLIST_MAX, broadcast_max: int = C.BROADCAST_MAX_ROWS,
                  mode: str = "auto"):
-        self.relation = relation.select(F.col(column).alias("address")).where(
+        self.relation = relation.select(F.lower(F.col(column)).alias("address")).where(
             F.col("address").isNotNull())
         self.values: list[str] | None = None
         if mode in ("auto", "inlist"):

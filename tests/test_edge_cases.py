@@ -160,3 +160,11 @@ def test_scalar_texts(spark):
     assert r.title == "ATTACKER EXIT VIA THORCHAIN BRIDGE" and r.legend == "BRIDGE EXIT"
     assert r.txt == "2.68 ETH" and r.w == "1,234,568" and r.tt == "Apr 24 23:06"
     assert r.wt == 3.0 and r.pk == "a:b" and r.pc == 30 + 240 % 180 and r.gc == 30 + 340 % 150
+
+
+def test_membership_lowers_a_raw_list(spark):
+    from fundflow.operators.membership import Membership
+    t = transfers(spark, [("h", BT, "0xab", "0xcd", "1", "1")])
+    raw = spark.createDataFrame([("0xAB",), ("0xCD",)], "address string")
+    for mode in ("inlist", "broadcast", "shuffle"):
+        assert A.mutual_transfers(t, Membership(raw, mode=mode)).count() == 1

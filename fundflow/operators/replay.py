@@ -94,24 +94,34 @@ class Clock:
 
     The bounds are one global aggregate (partial per task, one row to the
     driver), evaluated once and then used as literals, so a replay plan
-    carries no repeated subqueries over the timeline.
+    carries no repeated subqueries over the timeline, and as-of filters are
+    plain ``ts_ms <= literal`` comparisons that reach the Parquet scan.
     """
 
     def __init__(self, tl: DataFrame):
         b = time_bounds(tl).first()
         self.empty = b is None or b.start_ms is None
+        self.start_ms = None if self.empty else int(b.start_ms)
+        self.end_ms = None if self.empty else int(b.end_ms)
+        self.span_ms = 1 if self.empty else int(b.span_ms)
         lit = lambda v: F.lit(v).cast("bigint")
-        self.start = lit(None if self.empty else b.start_ms)
-        self.end = lit(None if self.empty else b.end_ms)
-        self.span = lit(1 if self.empty else b.span_ms)
+        self.start, self.end, self.span = lit(self.start_ms), lit(self.end_ms), lit(self.span_ms)
 
     def at(self, position: int, n: int = C.FRAME_COUNT) -> Column:
         """Clock time of slider position ``position`` (DOUBLE ms)."""
         return self.start + (F.lit(position).cast("bigint") * self.span) / F.lit(float(n))
 
+    def last_ms(self, position: int, n: int = C.FRAME_COUNT) -> int | None:
+        """Latest whole ms reached at ``position``: ``start + (position*span) // n``.
+
+        For integer times, ``(ts - start) * n <= position * span`` holds
+        exactly when ``ts <= last_ms``.
+        """
+        return None if self.empty else self.start_ms + (position * self.span_ms) // n
+
     def reached(self, position: int, n: int = C.FRAME_COUNT, ts: str = "ts_ms") -> Column:
-        """``ts <= at(position)``, exactly, in integers."""
-        return (F.col(ts) - self.start) * F.lit(n) <= F.lit(position).cast("bigint") * self.span
+        """``ts <= at(position)``, exactly, as a pushable literal comparison."""
+        return F.col(ts) <= F.lit(self.last_ms(position, n)).cast("bigint")
 
 
 def _time_filter(tl: DataFrame, t=None, position: int | None = None, n: int = C.FRAME_COUNT):

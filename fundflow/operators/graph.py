@@ -18,12 +18,14 @@ from .sizing import rows_at_most
 SEND, RECEIVE = "send", "receive"
 
 
-def endpoints(actions: DataFrame, *extra: str) -> DataFrame:
-    """One row per (action, end): ``address, side, amount, amount_usd, *extra``.
+def endpoints(actions: DataFrame, keep=("amount", "amount_usd")) -> DataFrame:
+    """One row per (action, end): ``address, side`` + the ``keep`` columns.
 
-    A self-transfer yields two rows for the same address.
+    A self-transfer yields two rows for the same address.  Only the columns
+    asked for go into the exploded struct (Catalyst does not prune fields
+    of a generated struct, so extra ones would be read from the scan).
     """
-    keep = ["amount", "amount_usd", *extra]
+    keep = list(keep)
     side = lambda addr, name: F.struct(
         F.col(addr).alias("address"), F.lit(name).alias("side"), *[F.col(c) for c in keep])
     return (actions.select(F.explode(F.array(side("from_address", SEND), side("to_address", RECEIVE))).alias("e"))
@@ -32,22 +34,21 @@ def endpoints(actions: DataFrame, *extra: str) -> DataFrame:
 
 def distinct_wallets(actions: DataFrame) -> DataFrame:
     """A5: every address that sends or receives (nulls dropped)."""
-    return (endpoints(actions).select("address").where(F.col("address").isNotNull())
+    return (endpoints(actions, keep=()).select("address").where(F.col("address").isNotNull())
             .distinct())
 
 
-def wallet_sums(actions: DataFrame) -> DataFrame:
-    """A1-A3 + A11 as exact sums: one grouped aggregation, no per-wallet scans."""
-    e = endpoints(actions).where(F.col("address").isNotNull())
+def wallet_sums(actions: DataFrame, with_usd: bool = False) -> DataFrame:
+    """A1-A3 (+ A11) as exact sums: one grouped aggregation, no per-wallet scans."""
+    e = endpoints(actions, keep=("amount", "amount_usd") if with_usd else ("amount",))
+    e = e.where(F.col("address").isNotNull())
     sent = F.col("side") == SEND
-    return e.groupBy("address").agg(
-        F.sum(F.when(sent, F.col("amount"))).alias("_sent"),
-        F.sum(F.when(~sent, F.col("amount"))).alias("_received"),
-        F.sum(F.when(sent, F.col("amount_usd"))).alias("_sent_usd"),
-        F.sum(F.when(~sent, F.col("amount_usd"))).alias("_received_usd"),
-        F.count(F.lit(1)).alias("tx_count"),
-        F.sum(F.when(sent, 1).otherwise(0)).cast("bigint").alias("sent_count"),
-    )
+    aggs = [F.sum(F.when(sent, F.col("amount"))).alias("_sent"),
+            F.sum(F.when(~sent, F.col("amount"))).alias("_received")]
+    if with_usd:
+        aggs += [F.sum(F.when(sent, F.col("amount_usd"))).alias("_sent_usd"),
+                 F.sum(F.when(~sent, F.col("amount_usd"))).alias("_received_usd")]
+    return e.groupBy("address").agg(*aggs, F.count(F.lit(1)).alias("tx_count"))
 
 
 def _zero(c: str):
@@ -82,7 +83,7 @@ def tx_count(actions: DataFrame) -> DataFrame:
 
 def wallet_usd_totals(actions: DataFrame) -> DataFrame:
     """Wallet totals in ETH and USD (USD rounded to 2 dp)."""
-    s = wallet_sums(actions)
+    s = wallet_sums(actions, with_usd=True)
     return s.select(
         "address",
         X.round_money(_zero("_sent"), C.ETH_DECIMALS).alias("total_sent"),

@@ -45,11 +45,10 @@ class Membership:
         c = F.col(col) if isinstance(col, str) else col
         return c.isin(self.values) if self.values else F.lit(False)
 
-    def _side(self, key: str, flag: str | None = None) -> DataFrame:
-        cols = [F.col("address").alias(key)]
-        if flag:
-            cols.append(F.lit(True).alias(flag))
-        side = self.relation.select(*cols)
+    def _side(self) -> DataFrame:
+        # One shape for every use, so a list tested on two columns is
+        # broadcast once (Spark reuses the identical exchange).
+        side = self.relation.select(F.col("address").alias("_m_key"), F.lit(True).alias("_m_hit"))
         return F.broadcast(side) if self.mode == "broadcast" else side
 
     # -- relational forms ----------------------------------------------------
@@ -57,13 +56,14 @@ class Membership:
         """Rows of ``df`` whose ``col`` is in the list."""
         if self.is_inlist:
             return df.where(self.test(col))
-        key = f"__m_{col}"
-        return df.join(self._side(key), F.col(col) == F.col(key), "left_semi")
+        side = self._side()
+        return df.join(side, F.col(col) == side["_m_key"], "left_semi")
 
     def flag(self, df: DataFrame, col: str, name: str) -> DataFrame:
         """``df`` plus a boolean column ``name`` = (``col`` in the list)."""
         if self.is_inlist:
             return df.withColumn(name, F.coalesce(self.test(col), F.lit(False)))
-        key = f"__m_{name}"
-        joined = df.join(self._side(key, name), F.col(col) == F.col(key), "left")
-        return joined.drop(key).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+        side = self._side()
+        joined = df.join(side, F.col(col) == side["_m_key"], "left")
+        return (joined.withColumn(name, F.coalesce(side["_m_hit"], F.lit(False)))
+                      .drop(side["_m_key"]).drop(side["_m_hit"]))

@@ -21,7 +21,7 @@ from ..operators import actions as A
 from ..operators import graph as G
 from ..operators import replay as R
 from ..operators.membership import Membership
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 from ..sources import fixtures, readers, sinks
 
 DEFAULT_PROFILE = "scale"
@@ -45,8 +45,16 @@ class Stages:
 
     @cached_property
     def actions(self) -> DataFrame:
+        """The action table, computed once per query and cut from its lineage.
+
+        A reliable ``checkpoint()`` in the session's shared checkpoint folder
+        stores it, so the branches of a query (nodes, timeline, size checks,
+        clock bounds) read the stored rows instead of each re-running the
+        scan and joins over the transfer table.
+        """
         i = self.inputs
-        return A.actions(i.transfers, i.transactions, self.watch, self.vault)
+        checkpoint_dir(self.spark)
+        return A.actions(i.transfers, i.transactions, self.watch, self.vault).checkpoint(eager=True)
 
     @cached_property
     def nodes(self) -> DataFrame:

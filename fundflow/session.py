@@ -21,7 +21,10 @@ def get_session(app: str = "fundflow", master: str | None = None,
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-          .config("spark.sql.adaptive.skewJoin.enabled", "true"))
+          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+          # checkpoints (ranged windows, per-query action tables) are removed
+          # from the shared folder once their DataFrames are gone
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

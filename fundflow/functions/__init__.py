@@ -61,8 +61,9 @@ def parse_block_time(c, data_type: T.DataType | None = None) -> Column:
     """Epoch ms of a block time; null when it cannot be read.
 
     Text is read with an explicit zone (``... UTC``), so the session zone
-    does not shift it; a text without millis is read too.  Timestamps
-    without zone are taken as UTC.
+    does not shift it; text without millis and ISO-8601 text with an offset
+    (``2024-01-01T10:00:00Z``) are read too.  Timestamps without zone are
+    taken as UTC.
     """
     col = as_column(c)
     if isinstance(data_type, T.TimestampNTZType):
@@ -75,6 +76,7 @@ def parse_block_time(c, data_type: T.DataType | None = None) -> Column:
     return F.unix_millis(F.coalesce(
         F.try_to_timestamp(col, F.lit(C.BLOCK_TIME_PATTERN)),
         F.try_to_timestamp(col, F.lit("yyyy-MM-dd HH:mm:ss z")),
+        F.try_to_timestamp(col, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")),
     ))
 
 

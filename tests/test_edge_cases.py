@@ -168,3 +168,12 @@ def test_membership_lowers_a_raw_list(spark):
     raw = spark.createDataFrame([("0xAB",), ("0xCD",)], "address string")
     for mode in ("inlist", "broadcast", "shuffle"):
         assert A.mutual_transfers(t, Membership(raw, mode=mode)).count() == 1
+
+
+def test_time_text_forms(spark):
+    from fundflow import functions as X
+    rows = [("2024-01-01 10:00:00.000 UTC",), ("2024-01-01 10:00:00 UTC",), ("2024-01-01T10:00:00Z",),
+            ("2024-01-01T11:00:00.000+01:00",), ("garbage",)]
+    got = [r.ms for r in spark.createDataFrame(rows, "t string")
+           .select(X.parse_block_time("t", T.StringType()).alias("ms")).collect()]
+    assert got == [1704103200000] * 4 + [None]

@@ -197,9 +197,13 @@ def role_filter(nodes_df: DataFrame, role: str = C.ROLE_ATTACKER) -> DataFrame:
     return nodes_df.where(F.col("role") == role)
 
 
-def wallet_detail(nodes_df: DataFrame, address: str) -> DataFrame:
-    """one wallet: address, role, txns, sent and received (whole ETH)."""
-    return (nodes_df.where(F.col("id") == address.lower())
+def wallet_detail(nodes_df: DataFrame, address) -> DataFrame:
+    """one wallet: address, role, txns, sent and received (whole ETH), title.
+
+    ``address`` is a text (lower-cased here) or a Column (e.g. a scalar subquery).
+    """
+    key = F.lit(address.lower()) if isinstance(address, str) else address
+    return (nodes_df.where(F.col("id") == key)
             .select(F.col("id").alias("address"), "role", F.col("tx_count").alias("txns"),
                     X.round_whole("total_sent").alias("sent"),
                     X.round_whole("total_received").alias("received"),

@@ -391,9 +391,13 @@ def scrub_positions(tl: DataFrame) -> DataFrame:
                      X.scrub_position("ts_ms", clock.start, clock.span).alias("position"))
 
 
-def transfer_detail(tl: DataFrame, tx_hash: str) -> DataFrame:
-    """one transfer (all traces of a hash): from, to, amount text (4 dp), hash."""
-    return (tl.where(F.col("hash") == tx_hash.lower())
+def transfer_detail(tl: DataFrame, tx_hash) -> DataFrame:
+    """one transfer (all traces of a hash): from, to, amount, amount text (4 dp), hash.
+
+    ``tx_hash`` is a text (lower-cased here) or a Column.
+    """
+    key = F.lit(tx_hash.lower()) if isinstance(tx_hash, str) else tx_hash
+    return (tl.where(F.col("hash") == key)
               .select("from", "to", F.col("amount").cast("double").alias("amount"),
                       X.amount_text("amount", C.ETH_DECIMALS).alias("amount_text"), "hash", "ts_ms"))
 

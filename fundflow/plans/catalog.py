@@ -143,13 +143,8 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "F3_is_exit": lambda p: R.is_exit(p.timeline),
     "F4_as_of": lambda p: R.as_of(p.timeline, position=AS_OF_POSITION),
     "F5_role_filter": lambda p: G.role_filter(p.nodes, C.ROLE_ATTACKER),
-    "F6_wallet_detail": lambda p: p.nodes.where(F.col("id") == busiest_wallet(p.nodes)).select(
-        F.col("id").alias("address"), "role", F.col("tx_count").alias("txns"),
-        X.round_whole("total_sent").alias("sent"), X.round_whole("total_received").alias("received"),
-        X.role_title("role").alias("title")),
-    "F7_transfer_detail": lambda p: p.timeline.where(F.col("hash") == most_traced_hash(p.timeline)).select(
-        "from", "to", F.col("amount").cast("double").alias("amount"),
-        X.amount_text("amount", C.ETH_DECIMALS).alias("amount_text"), "hash", "ts_ms"),
+    "F6_wallet_detail": lambda p: G.wallet_detail(p.nodes, busiest_wallet(p.nodes)),
+    "F7_transfer_detail": lambda p: R.transfer_detail(p.timeline, most_traced_hash(p.timeline)),
     "F8_labelled_amount": lambda p: p.timeline.select(
         "hash", "from", "to", "ts_ms", X.labelled_amount("amount").alias("amount_label")),
     # joins

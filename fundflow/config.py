@@ -56,3 +56,6 @@ BROADCAST_MAX_ROWS = 1_000_000
 # An ordered window whose largest partition has at most this many rows runs
 # as a plain window; larger ones use range partitioning + offsets.
 LOCAL_WINDOW_MAX_ROWS = 1_000_000
+# Target rows per range partition in the ranged strategy (a few hundred MB
+# of event rows), so partitions fit in executor memory at any input size.
+RANGED_ROWS_PER_PARTITION = 2_000_000

@@ -74,7 +74,12 @@ def _window(df, order_by, partition_by, sums, seq):
 def _ranged(df, order_by, partition_by, sums, seq, partitions):
     spark = df.sparkSession
     checkpoint_dir(spark)  # the session's shared folder (set only in local tests)
-    n = partitions or default_parallelism(spark)
+    if partitions is None:
+        # sized by volume: at least the cluster's parallelism, at most
+        # RANGED_ROWS_PER_PARTITION rows per partition
+        rows = df.count()
+        partitions = max(default_parallelism(spark), -(-rows // C.RANGED_ROWS_PER_PARTITION))
+    n = partitions
     order = _cols(order_by)
 
     # Sum inputs are materialised as columns so the checkpoint carries them.

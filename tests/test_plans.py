@@ -53,3 +53,26 @@ def test_ranged_strategy_has_no_single_partition_exchange(spark):
     body = [ln for ln in s.splitlines() if "Exchange SinglePartition" in ln]
     # only the tiny aggregates may gather into one partition, never event rows
     assert all("HashAggregate" not in ln for ln in body)
+
+
+def test_results_hold_without_automatic_broadcast(spark):
+    """The shuffled (sort-merge) join path gives the same rows as the oracle."""
+    from oracle_compare import compare, duck
+    con = duck(SF001)
+    keys = ["J1_exit_transfers", "U1_actions", "T4_activation_play", "W6_lane_index"]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                         "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        for key in keys:
+            df = entry.queries()[key](spark, SF001)
+            ok, msg = compare(df, con, entry.oracle_sql()[key])
+            assert ok, (key, msg)
+        assert "SortMergeJoin" in plan(entry.queries()["J1_exit_transfers"](spark, SF001))
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

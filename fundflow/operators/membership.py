@@ -18,8 +18,10 @@ from .sizing import rows_at_most
 
 class Membership:
     def __init__(self, relation: DataFrame, column: str = "address",
-                 inlist_max: int = C.INLIST_MAX, broadcast_max: int = C.BROADCAST_MAX_ROWS,
+                 inlist_max: int | None = None, broadcast_max: int | None = None,
                  mode: str = "auto"):
+        inlist_max = C.INLIST_MAX if inlist_max is None else inlist_max
+        broadcast_max = C.BROADCAST_MAX_ROWS if broadcast_max is None else broadcast_max
         self.relation = relation.select(F.lower(F.col(column)).alias("address")).where(
             F.col("address").isNotNull())
         self.values: list[str] | None = None

@@ -16,8 +16,10 @@ Parquet path or a text file (one address per line) to use others.
 
 Example::
 
-    spark-submit -m fundflow.plans.jobs all --transfers data/attackers_transfers \\
+    python -m fundflow.plans.jobs all --transfers data/attackers_transfers \\
         --transactions data/attackers_transactions --out out/
+
+(on a cluster: ``spark-submit --py-files fundflow.zip run_jobs.py all ...``)
 """
 from __future__ import annotations
 

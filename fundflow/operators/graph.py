@@ -138,7 +138,7 @@ def graph_summary(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
 
     Both counts are global aggregates evaluated as scalar subqueries.
     """
-    by_role = {r: F.sum(F.when(F.col("role") == r, 1).otherwise(0)).cast("bigint")
+    by_role = {r: F.coalesce(F.sum(F.when(F.col("role") == r, 1).otherwise(0)), F.lit(0)).cast("bigint")
                for r in (C.ROLE_ATTACKER, C.ROLE_HOP, C.ROLE_DEFAULT, C.ROLE_VAULT)}
     n_edges = edges_df.select(F.count(F.lit(1))).scalar()
     return nodes_df.agg(

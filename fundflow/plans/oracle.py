@@ -271,10 +271,10 @@ FROM edges e LEFT JOIN nodes a ON e."from" = a.id LEFT JOIN nodes b ON e."to" =
     "A6_role_counts": "SELECT role, count(*) AS wallets FROM nodes GROUP BY role",
     "A7_graph_summary": """
 SELECT count(*) AS wallets,
-       CAST(sum(CASE WHEN role = 'attacker' THEN 1 ELSE 0 END) AS BIGINT) AS attacker_wallets,
-       CAST(sum(CASE WHEN role = 'pre-inter' THEN 1 ELSE 0 END) AS BIGINT) AS pre_inter_wallets,
-       CAST(sum(CASE WHEN role = 'inter' THEN 1 ELSE 0 END) AS BIGINT) AS inter_wallets,
-       CAST(sum(CASE WHEN role = 'thorchain' THEN 1 ELSE 0 END) AS BIGINT) AS thorchain_wallets,
+       CAST(coalesce(sum(CASE WHEN role = 'attacker' THEN 1 ELSE 0 END), 0) AS BIGINT) AS attacker_wallets,
+       CAST(coalesce(sum(CASE WHEN role = 'pre-inter' THEN 1 ELSE 0 END), 0) AS BIGINT) AS pre_inter_wallets,
+       CAST(coalesce(sum(CASE WHEN role = 'inter' THEN 1 ELSE 0 END), 0) AS BIGINT) AS inter_wallets,
+       CAST(coalesce(sum(CASE WHEN role = 'thorchain' THEN 1 ELSE 0 END), 0) AS BIGINT) AS thorchain_wallets,
        (SELECT count(*) FROM edges) AS edges
 FROM nodes""",
     "A8_time_bounds": "SELECT start_ms, end_ms, CAST(span_ms AS BIGINT) AS span_ms, events FROM bounds",

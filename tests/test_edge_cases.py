@@ -177,3 +177,11 @@ def test_time_text_forms(spark):
     got = [r.ms for r in spark.createDataFrame(rows, "t string")
            .select(X.parse_block_time("t", T.StringType()).alias("ms")).collect()]
     assert got == [1704103200000] * 4 + [None]
+
+
+def test_empty_graph_summary_counts_zero(spark):
+    t = transfers(spark, [])
+    acts = A.actions(t, transactions(spark, []), lists.watchlist(spark, []), lists.vaults(spark, []))
+    nodes = G.nodes(acts, lists.roles(spark))
+    r = G.graph_summary(nodes, G.edges(acts)).first()
+    assert (r.wallets, r.attacker_wallets, r.inter_wallets, r.edges) == (0, 0, 0, 0)

@@ -185,3 +185,12 @@ def test_empty_graph_summary_counts_zero(spark):
     nodes = G.nodes(acts, lists.roles(spark))
     r = G.graph_summary(nodes, G.edges(acts)).first()
     assert (r.wallets, r.attacker_wallets, r.inter_wallets, r.edges) == (0, 0, 0, 0)
+
+
+def test_list_from_text_file(spark):
+    from fundflow.session import scratch_path
+    path = scratch_path(spark, "t-list").removeprefix("file:") + ".txt"
+    with open(path, "w") as f:
+        f.write("address\n0xAbC\n 0xdef \n\n0xabc\n")
+    got = sorted(r.address for r in lists.watchlist(spark, path).collect())
+    assert got == ["0xabc", "0xdef"]

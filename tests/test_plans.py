@@ -46,13 +46,38 @@ def test_transaction_scan_is_pruned(spark):
     assert scans and all("ReadSchema: struct<hash:string,from:string,to:string>" in ln for ln in scans)
 
 
-def test_ranged_strategy_has_no_single_partition_exchange(spark):
+def _exchanges(node, out):
+    """(partitioning, records written) of every shuffle in an executed plan."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _exchanges(node.executedPlan(), out)
+    if name.endswith("QueryStageExec"):
+        return _exchanges(node.plan(), out)
+    if name == "ReusedExchangeExec":
+        return _exchanges(node.child(), out)
+    if name == "ShuffleExchangeExec":
+        m = node.metrics()
+        out.append((node.outputPartitioning().toString(), m.apply("shuffleRecordsWritten").value()))
+    children = node.children().iterator()
+    while children.hasNext():
+        _exchanges(children.next(), out)
+    return out
+
+
+@pytest.mark.parametrize("fn", ["running_totals", "pair_sequence"])
+def test_ranged_strategy_sends_no_event_rows_through_one_task(spark, fn):
+    """Measured: single-partition shuffles carry only the offsets table."""
     from fundflow.operators import replay as R
+    from fundflow.session import default_parallelism
     p = Stages(spark, SF001)
-    s = plan(R.running_totals(p.timeline, strategy="ranged"))
-    body = [ln for ln in s.splitlines() if "Exchange SinglePartition" in ln]
-    # only the tiny aggregates may gather into one partition, never event rows
-    assert all("HashAggregate" not in ln for ln in body)
+    events = p.timeline.count()
+    df = getattr(R, fn)(p.timeline, strategy="ranged")
+    df.collect()
+    shuffles = _exchanges(df._jdf.queryExecution().executedPlan(), [])
+    bound = 2 * default_parallelism(spark) + 1
+    single = [rec for part, rec in shuffles if part.startswith("SinglePartition")]
+    assert all(rec <= bound for rec in single), shuffles
+    assert any(part.startswith("rangepartitioning") and rec == events for part, rec in shuffles), shuffles
 
 
 def test_results_hold_without_automatic_broadcast(spark):

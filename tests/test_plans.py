@@ -101,3 +101,28 @@ def test_results_hold_without_automatic_broadcast(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_frames_gather_only_grid_rows(spark):
+    from fundflow.operators import replay as R
+    p = Stages(spark, SF001)
+    df = R.frames(p.timeline, p.nodes)
+    df.collect()
+    shuffles = _exchanges(df._jdf.queryExecution().executedPlan(), [])
+    assert all(rec <= 1001 for part, rec in shuffles if part.startswith("SinglePartition")), shuffles
+
+
+def test_extraction_does_not_shuffle_transfers(spark):
+    p = Stages(spark, SF001)
+    i = p.inputs
+    path = scratch_path(spark, "t-x")
+    i.transfers.write.parquet(path + "/t")
+    i.transactions.write.parquet(path + "/x")
+    transfers = readers.scan_transfers(spark, path + "/t")
+    transactions = readers.scan_transactions(spark, path + "/x")
+    n = transfers.count()
+    for mode in ("inlist", "broadcast"):
+        df = A.actions(transfers, transactions, Membership(i.watchlist, mode=mode), p.vault)
+        df.collect()
+        shuffles = _exchanges(df._jdf.queryExecution().executedPlan(), [])
+        assert all(rec < n for _, rec in shuffles), (mode, shuffles)

@@ -194,3 +194,13 @@ def test_list_from_text_file(spark):
         f.write("address\n0xAbC\n 0xdef \n\n0xabc\n")
     got = sorted(r.address for r in lists.watchlist(spark, path).collect())
     assert got == ["0xabc", "0xdef"]
+
+
+def test_typed_timestamp_block_time(spark):
+    import datetime as dt
+    schema = T.StructType(TR.fields[:1] + [T.StructField("block_time", T.TimestampNTZType())] + TR.fields[2:])
+    raw = spark.createDataFrame([("h", dt.datetime(2024, 1, 1, 10, 0, 0, 250000), "a", "b", "1", "1")], schema)
+    acts = A.with_label(readers.normalize_transfers(raw), "mutual_transfer")
+    r = acts.first()
+    assert r.block_time == "2024-01-01 10:00:00.250 UTC"
+    assert R.timeline(acts).first().ts_ms == 1704103200250

@@ -5,22 +5,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_automaton import bpe_query
 from .common import table
+from .licenses import license_query
 from .packing import packing_query
+from .quality import quality_query, quality_sql
 from .token_files import token_files_query
+from .url_filter import url_query, url_sql
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(spark, table(spark, sf_dir, "documents"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_query(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_query(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_query(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_query(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op6_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_bpe_automaton, op4_license_scan,
+                                   op5_url_filter, op6_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality_sql(), "op5_url_filter": url_sql()}

@@ -10,6 +10,7 @@ from .common import table
 from .licenses import license_query
 from .packing import packing_query
 from .quality import quality_query, quality_sql
+from .simhash import simhash_query
 from .token_files import token_files_query
 from .url_filter import url_query, url_sql
 
@@ -38,9 +39,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_query(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_bpe_automaton, op4_license_scan,
-                                   op5_url_filter, op6_packing)}
+                                   op5_url_filter, op6_packing, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

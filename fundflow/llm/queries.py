@@ -12,6 +12,7 @@ from .packing import packing_query
 from .quality import quality_query, quality_sql
 from .simhash import simhash_query
 from .token_files import token_files_query
+from .toxicity import toxicity_query
 from .url_filter import url_query, url_sql
 
 
@@ -43,9 +44,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_bpe_automaton, op4_license_scan,
-                                   op5_url_filter, op6_packing, op7_simhash)}
+                                   op5_url_filter, op6_packing, op7_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

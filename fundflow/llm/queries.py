@@ -9,6 +9,7 @@ from .bpe_automaton import bpe_query
 from .common import table
 from .licenses import license_query
 from .packing import packing_query
+from .passages import passages_query
 from .quality import quality_query, quality_sql
 from .simhash import simhash_query
 from .token_files import token_files_query
@@ -44,13 +45,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages_query(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_bpe_automaton, op4_license_scan,
-                                   op5_url_filter, op6_packing, op7_simhash, op9_toxicity)}
+                                   op5_url_filter, op6_packing, op7_simhash, op8_passages, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

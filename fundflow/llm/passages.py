@@ -47,9 +47,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from .blocks import NULL_ID, block_of, block_texts, by_block, groups, write_blocks
 from .common import shuffle_width, written
-from .token_files import filesystem
 
 LENGTH, GRAM = 100, 36
 SIDE = GRAM - 4
@@ -57,7 +56,6 @@ SIDE = GRAM - 4
 CHUNK_BYTES, CHUNK_RUNS = 4_000_000, 1_000_000
 #: Different runs of one q-gram in one task from which it goes straight to step 3.
 HOT_RUNS = 8
-NULL_ID = -(1 << 63)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 RUN, MARK, GONE, OPEN = 0, 1, 2, 3
 
@@ -259,26 +257,9 @@ def long_parts(texts: list[bytes], most: int = 3 * CHUNK_BYTES) -> Iterator[dict
             yield some
 
 
-def _groups(parts: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Batches of sorted rows, cut between keys only."""
-    rest = None
-    for pdf in parts:
-        if not len(pdf):
-            continue
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        last = pdf[key].to_numpy()
-        cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if last[0] != last[-1] else 0
-        if cut:
-            yield pdf.iloc[:cut]
-        rest = pdf.iloc[cut:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def judge_runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step 2, reduce side, rows sorted by (key, run, id, start)."""
-    for pdf in _groups(parts, "key"):
+    for pdf in groups(parts, "key"):
         c = {k: pdf[k].to_numpy() for k in pdf.columns}
         passed = (c["kind"] == GONE) | (c["kind"] == OPEN)
         outs = [(c["row"][passed], c["start"][passed], c["count"][passed], c["kind"][passed] == OPEN)]
@@ -311,31 +292,15 @@ def judge_runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": row, "start": start.astype(np.int32), "count": count.astype(np.int32), "open": is_open})
 
 
-def _by_block(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    for pdf in _groups(parts, "block"):
-        for block, own in pdf.groupby("block", sort=True):
-            yield int(block), own
-
-
-def _texts(path: str) -> Iterator[tuple[np.ndarray, list, list[bytes]]]:
-    """(row numbers, ids, texts as bytes) of a block's file, a batch at a time, in order."""
-    import pyarrow.parquet as pq
-    files, place = filesystem(path)
-    with files.open_input_file(place) as f:
-        for batch in pq.ParquetFile(f).iter_batches(1000, columns=["row", "id", "text"]):
-            texts = batch.column("text").cast("binary").to_pylist()
-            yield batch.column("row").to_numpy(), batch.column("id").to_pylist(), texts
-
-
 def open_strings(paths: dict[int, str]):
     """Step 3, map side: refines the open strings of each block; the first of each bucket is sent."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block, spans in _by_block(parts):
+        for block, spans in by_block(parts):
             rows, starts, counts = (spans[k].to_numpy().astype(np.int64) for k in ("row", "start", "count"))
             order = np.lexsort((starts, rows))
             rows, starts, counts = rows[order], starts[order], counts[order]
             held, at, size = [], 0, 0
-            for numbers, ids, texts in _texts(paths[block]):
+            for numbers, ids, texts in block_texts(paths[block]):
                 to = int(np.searchsorted(rows, numbers[-1], "right"))
                 for k in range(at, to):
                     n = int(np.searchsorted(numbers, rows[k]))
@@ -376,7 +341,7 @@ def _refined(held: list[tuple]) -> pd.DataFrame:
 
 def judge_strings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step 3, reduce side, rows sorted by (key, more, id, start): all but the earliest are gone."""
-    for pdf in _groups(parts, "key"):
+    for pdf in groups(parts, "key"):
         c = {k: pdf[k].to_numpy() for k in pdf.columns}
         new = _firsts(c["key"], c["more"], c["gone"])
         earliest = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -402,12 +367,12 @@ def cut_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 def _results(paths: dict[int, str], with_text: bool):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block, spans in _by_block(parts):
+        for block, spans in by_block(parts):
             spans = spans[spans["row"] >= 0]
             rows, starts, counts = (spans[k].to_numpy().astype(np.int64) for k in ("row", "start", "count"))
             order = np.lexsort((starts, rows))
             rows, starts, ends = rows[order], starts[order], (starts + counts + LENGTH - 1)[order]
-            for numbers, ids, texts in _texts(paths[block]):
+            for numbers, ids, texts in block_texts(paths[block]):
                 lows, highs = np.searchsorted(rows, numbers, "left"), np.searchsorted(rows, numbers, "right")
                 out = []
                 for row, doc, data, lo, hi in zip(numbers.tolist(), ids, texts, lows.tolist(), highs.tolist()):
@@ -431,18 +396,8 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, Da
     """
     spark = docs.sparkSession
     n = shuffle_width(spark)
-    extra = [c for c in docs.columns if c not in ("row", "id")] if with_text else []
-    path = scratch_path(spark, "blocks")
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in extra if c != "text"]).alias("rest")] if with_text else []))
-    numbered.write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(numbered.schema).parquet(path)
-    block = F.shiftright("row", 33).cast("int")
-    # one row per file
-    paths = {r.block: r.path for r in blocks.groupBy(block.alias("block"), F.col("_metadata.file_path").alias("path"))
-             .agg(F.count(F.lit(1))).collect()}
+    blocks, paths = write_blocks(docs, [c for c in docs.columns if c != "text"] if with_text else [])
+    block = block_of()
     out = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out += ", kept_text string" if with_text else ""
     if not paths:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import bpe_query
 from .common import table
 from .licenses import license_query
+from .near_dups import near_duplicates_query
 from .packing import packing_query
 from .passages import passages_query
 from .quality import quality_query, quality_sql
@@ -53,9 +54,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(spark, sf_dir)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates_query(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_bpe_automaton, op4_license_scan,
-                                   op5_url_filter, op6_packing, op7_simhash, op8_passages, op9_toxicity)}
+                                   op5_url_filter, op6_packing, op7_simhash, op8_passages, op9_toxicity,
+                                   op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,10 +1,66 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: quality, toxicity, near-duplicates, repeated passages, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and calls one operator; its
+result is written as Parquet in the shared folder and reread as the next
+stage's documents.  All stages but the last return the columns of
+``documents``; the last returns the pieces of the packed sequences.
+
+The stages can't be expressed in SQL from the second on (a trained model,
+minimum hashes over whole texts, a tokenizer library), so there is no
+oracle SQL; tests hold every stage against a brute-force version.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fundflow.llm import tokens, toxicity
+from fundflow.llm.common import table, written
+from fundflow.llm.near_dups import first_of_each
+from fundflow.llm.packing import pack
+from fundflow.llm.passages import without_repeats
+from fundflow.llm.quality import good_documents
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or come from a rejected host go."""
+    return good_documents(docs)
+
+
+def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored at the threshold or above go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.where(scored["toxic_score"] < toxicity.THRESHOLD).drop("toxic_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return first_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated passages go from the texts; every document stays."""
+    return without_repeats(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return pack(docs, tokens.tokenizer_path(), end_id=1, with_ids=False).drop("ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxic_texts),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("packing", packed_sequences),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

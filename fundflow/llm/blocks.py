@@ -71,3 +71,45 @@ def block_texts(path: str) -> Iterator[tuple[np.ndarray, list, list[bytes]]]:
         for batch in pq.ParquetFile(f).iter_batches(1000, columns=["row", "id", "text"]):
             texts = batch.column("text").cast("binary").to_pylist()
             yield batch.column("row").to_numpy(), batch.column("id").to_pylist(), texts
+
+
+def rebuilt(batch, columns: list[str], texts: list[str] | None):
+    """An Arrow batch of the original ``columns`` from a block's batch; with ``texts`` instead of its own
+    (``n_chars``, if there is one, then counts their characters)."""
+    import pyarrow as pa
+    rest = batch.column("rest")
+    out = []
+    for c in columns:
+        if c == "text":
+            out.append(batch.column("text") if texts is None else pa.array(texts, pa.string()))
+            continue
+        own = rest.field(c)
+        out.append(own if texts is None or c != "n_chars" else pa.array([len(t) for t in texts], own.type))
+    return pa.RecordBatch.from_arrays(out, names=columns)
+
+
+def block_batches(path: str):
+    """A block's file as Arrow batches of ``row, id, text, rest``, in order."""
+    import pyarrow.parquet as pq
+    files, place = filesystem(path)
+    with files.open_input_file(place) as f:
+        yield from pq.ParquetFile(f).iter_batches(1000)
+
+
+def select_rows(docs: DataFrame, rows: DataFrame, paths: dict[int, str]) -> DataFrame:
+    """The documents whose ``row`` is in ``rows``, with the columns of ``docs``; no text is shuffled."""
+    columns = docs.columns
+
+    def run(parts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        frames = (b.to_pandas() for b in parts)
+        for block, own in by_block(frames):
+            wanted = pa.array(np.sort(own["row"].to_numpy()))
+            for batch in block_batches(paths[block]):
+                some = batch.filter(pc.is_in(batch.column("row"), value_set=wanted))
+                if some.num_rows:
+                    yield rebuilt(some, columns, None)
+
+    return (rows.select("row", block_of().alias("block")).repartitionByRange(max(len(paths), 1), "block")
+            .sortWithinPartitions("block").mapInArrow(run, docs.schema))

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import NULL_ID, block_of, block_texts, by_block, write_blocks
+from .blocks import NULL_ID, block_of, block_texts, by_block, select_rows, write_blocks
 from .common import written
 
 WORDS, THRESHOLD = 5, 0.8
@@ -247,14 +247,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """``(classes, blocks)`` of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[str] = ()) -> tuple[DataFrame, dict[int, str]]:
+    """``(classes, paths)`` of ``docs(doc_id, text)``.
 
     Classes: ``row, doc_id, class_id`` (the smallest ``doc_id`` of the
     class), ``class_size``, ``n_links`` (verified links of its text to other
-    texts), ``kept`` (one row of each class).
+    texts), ``kept`` (one row of each class).  Paths: the files of the
+    blocks that hold the rows, with the columns ``keep``.
     """
-    spark = docs.sparkSession
     blocks, paths = write_blocks(docs, keep)
     signed = written(blocks.select("row", "id", "text").mapInPandas(
         sign, "row long, id long, one long, two long, bands array<long>"), "signatures")
@@ -297,7 +297,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[st
     classes = placed.join(totals, "component").join(degree, "text_row", "left").select(
         "row", real("id").alias("doc_id"), real("least.id").alias("class_id"), "class_size",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("row") == F.col("least.row")).alias("kept"))
-    return classes, blocks
+    return classes, paths
+
+
+def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each class of near duplicates, with all its columns."""
+    classes, paths = near_duplicates(docs, threshold, [c for c in docs.columns if c != "text"])
+    return select_rows(docs, classes.where("kept").select("row"), paths)
 
 
 def near_duplicates_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
         return docs.sparkSession.createDataFrame([], PIECE)
     blocks = cut_blocks(queues, places, total, block_windows * length, width)
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at", kind="stable")
         groups = {}
         for src, *row in zip(*(pdf[c].tolist() for c in ("source", "doc_id", "start", "ids", "doc_tokens"))):

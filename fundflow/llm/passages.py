@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import NULL_ID, block_of, block_texts, by_block, groups, write_blocks
+from .blocks import NULL_ID, block_batches, block_of, block_texts, by_block, groups, rebuilt, write_blocks
 from .common import shuffle_width, written
 
 LENGTH, GRAM = 100, 36
@@ -365,43 +365,59 @@ def cut_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _results(paths: dict[int, str], with_text: bool):
+def _spans_of(spans: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and ends of a block's spans, sorted; the block's own marker row is left out."""
+    spans = spans[spans["row"] >= 0]
+    rows, starts, counts = (spans[k].to_numpy().astype(np.int64) for k in ("row", "start", "count"))
+    order = np.lexsort((starts, rows))
+    return rows[order], starts[order], (starts + counts + LENGTH - 1)[order]
+
+
+def _cleaned(numbers: np.ndarray, texts: list[bytes], rows: np.ndarray, starts: np.ndarray,
+             ends: np.ndarray) -> Iterator[tuple[bytes, int]]:
+    """(remaining bytes, removed runs) of each text."""
+    lows, highs = (np.searchsorted(rows, numbers, side).tolist() for side in ("left", "right"))
+    for data, lo, hi in zip(texts, lows, highs):
+        if lo == hi:
+            yield data, 0
+        else:
+            a, b = merge_spans(starts[lo:hi], ends[lo:hi])
+            yield cut_spans(data, a, b), len(a)
+
+
+def _results(paths: dict[int, str]):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, spans in by_block(parts):
-            spans = spans[spans["row"] >= 0]
-            rows, starts, counts = (spans[k].to_numpy().astype(np.int64) for k in ("row", "start", "count"))
-            order = np.lexsort((starts, rows))
-            rows, starts, ends = rows[order], starts[order], (starts + counts + LENGTH - 1)[order]
+            found = _spans_of(spans)
             for numbers, ids, texts in block_texts(paths[block]):
-                lows, highs = np.searchsorted(rows, numbers, "left"), np.searchsorted(rows, numbers, "right")
-                out = []
-                for row, doc, data, lo, hi in zip(numbers.tolist(), ids, texts, lows.tolist(), highs.tolist()):
-                    a, b = merge_spans(starts[lo:hi], ends[lo:hi])
-                    kept = cut_spans(data, a, b) if hi > lo else data
-                    out.append((row, None if doc == NULL_ID else doc, len(data), len(data) - len(kept), len(a),
-                                hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-                made = pd.DataFrame(out, columns=["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-                made = made.astype({"doc_id": "Int64"})
-                yield made if with_text else made.drop(columns="kept_text")
+                out = [(row, None if doc == NULL_ID else doc, len(data), len(data) - len(kept), n,
+                        hashlib.sha256(kept).hexdigest())
+                       for row, doc, data, (kept, n) in zip(numbers.tolist(), ids, texts, _cleaned(numbers, texts, *found))]
+                made = pd.DataFrame(out, columns=["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield made.astype({"doc_id": "Int64"})
     return run
 
 
-def deduplicate(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(results, blocks)``: per row of ``docs(doc_id, text, ...)`` its result.
+def _documents(paths: dict[int, str], columns: list[str]):
+    def run(parts):
+        for block, spans in by_block(b.to_pandas() for b in parts):
+            found = _spans_of(spans)
+            for batch in block_batches(paths[block]):
+                texts = batch.column("text").cast("binary").to_pylist()
+                kept = _cleaned(batch.column("row").to_numpy(), texts, *found)
+                yield rebuilt(batch, columns, [k.decode("utf-8", "ignore") for k, _ in kept])
+    return run
+
 
-    Results: ``row, doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and
-    with ``with_text`` ``kept_text`` (the remaining bytes as text; bytes of a
-    character cut in two are dropped).  ``blocks`` is the written copy of
-    ``docs`` with its ``row``.
-    """
+def repeated_spans(docs: DataFrame, keep: list[str] = ()) -> tuple[DataFrame | None, dict[int, str]]:
+    """``(spans, paths)``: per block the strings to remove, as runs of starts (and a marker row per block),
+    and the blocks' files; no spans for an empty table."""
     spark = docs.sparkSession
     n = shuffle_width(spark)
-    blocks, paths = write_blocks(docs, [c for c in docs.columns if c != "text"] if with_text else [])
+    blocks, paths = write_blocks(docs, keep)
     block = block_of()
-    out = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out += ", kept_text string" if with_text else ""
     if not paths:
-        return spark.createDataFrame([], out), blocks
+        return None, paths
 
     sent = blocks.select("row", "id", "text").mapInPandas(send_runs, SENT)
     runs = written(sent.repartition(n, "key").sortWithinPartitions("key", "kind", "run", "id", "start")
@@ -414,11 +430,31 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, Da
     each = spark.createDataFrame([(-1, 0, 0, False, b) for b in paths], runs.schema)
     spans = runs.where("not open").unionByName(gone).unionByName(each)
     spans = written(spans.select("block", "row", "start", "count"), "spans")
-    results = (spans.repartitionByRange(len(paths), "block").sortWithinPartitions("block")
-               .mapInPandas(_results(paths, with_text), out))
-    return results, blocks
+    return spans.repartitionByRange(len(paths), "block").sortWithinPartitions("block"), paths
+
+
+RESULT = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text)`` its result, ``RESULT`` columns."""
+    spans, paths = repeated_spans(docs)
+    if spans is None:
+        return docs.sparkSession.createDataFrame([], RESULT)
+    return spans.mapInPandas(_results(paths), RESULT)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the remaining text in ``text`` (and its length in ``n_chars``); every row and column is kept.
+
+    A character whose bytes are removed in part goes whole.
+    """
+    spans, paths = repeated_spans(docs, [c for c in docs.columns if c != "text"])
+    if spans is None:
+        return docs
+    return spans.mapInArrow(_documents(paths, docs.columns), docs.schema)
 
 
 def passages_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """op8: every document."""
-    return deduplicate(docs)[0].drop("row")
+    return deduplicate(docs).drop("row")

@@ -31,23 +31,28 @@ LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 #: A host with a shrunken failure rate above this is rejected.
 HOST_RATE = 0.5
+#: Rejected hosts that may be broadcast.
+MOST_HOSTS = 100_000
 #: Bounds of alpha + beta, the prior's weight in documents.
 PRIOR_LEAST, PRIOR_MOST = 2.0, 1000.0
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, source`` and the base counts of every row of ``docs(doc_id, source, text)``."""
+def document_counts(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """``doc_id, source``, the base counts and a struct ``rest`` of the columns ``keep`` of every row of
+    ``docs(doc_id, source, text)``."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest")] if keep else []
+    also = ["rest"] if keep else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       text.alias("text"))
+                       text.alias("text"), *rest)
     rows = rows.select(
-        "doc_id", "source",
+        "doc_id", "source", *also,
         F.filter(F.split("text", BLANKS), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda s: F.translate(s, " \t\n\x0b\x0c\r", "") != "").alias("lines"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"))
     rows = rows.select(
-        "doc_id", "source", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "source", *also, "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("""CASE WHEN size(words) >= 4 THEN transform(sequence(0, size(words) - 3),
                   i -> xxhash64(words[i], words[i + 1], words[i + 2])) ELSE array() END""").alias("windows"))
@@ -58,7 +63,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
         coalesce(x.h = get(sorted, k - 1).h, false) OR coalesce(x.h = get(sorted, k + 1).h, false)), x -> x.i))"""))
     repeat = F.expr("""coalesce(aggregate(transform(places, (p, k) -> least(3, coalesce(get(places, k + 1) - p, 3))),
         0L, (a, x) -> a + x), 0L)""")
-    return rows.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"))
+    return rows.select("doc_id", "source", *also, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -88,16 +93,35 @@ def beta_prior(hosts: int, n: int, k: int, squares: float) -> tuple[float, float
     return mean * weight, (1 - mean) * weight
 
 
+def judged(docs: DataFrame, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(counts, rates)``: the written counts of every row with ``base_failed`` and ``host``, and the hosts' rates."""
+    counts = written(document_counts(docs, keep).select(
+        "*", base_failed().alias("base_failed"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host")), "quality")
+    return counts, host_rates(counts).select("host", "host_docs", "host_rate")
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, the host's rate and ``kept`` for every row of ``docs``."""
-    counts = written(document_counts(docs).select(
-        "*", base_failed().alias("base_failed"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host")), "quality")
-    rates = host_rates(counts).select("host", "host_docs", "host_rate")
+    counts, rates = judged(docs)
     return counts.join(rates, "host").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("host_rate") <= HOST_RATE)).alias("kept"), "host_docs")
 
 
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Joined with the rejected hosts only, which are broadcast up to
+    ``MOST_HOSTS`` of them; beyond, the join is Spark's to plan.
+    """
+    counts, rates = judged(docs, docs.columns)
+    rejected = written(rates.where(F.col("host_rate") > HOST_RATE).select("host"), "rejected-hosts")
+    if rejected.count() <= MOST_HOSTS:
+        rejected = F.broadcast(rejected)
+    good = counts.where(~F.col("base_failed")).join(rejected, "host", "left_anti")
+    return good.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """op1: every document."""
     return quality_rules(docs)

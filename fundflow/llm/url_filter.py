@@ -13,8 +13,8 @@ pattern rules block, and everything else is allowed.
 DataFrame functions only.  Rows are regrouped by URL, never by host, so a
 hot host stays spread; a URL repeated by many pages is combined before the
 exchange.  Rules that share a token with a third of all pages meet them in
-a join that splits skewed partitions (or is a broadcast join while the rule
-table is below Spark's size limit).
+a join that splits skewed partitions; up to ``MOST_RULES`` rules, counted
+before, are broadcast instead.
 
 Defined results: a null URL, or one without ``://``, has empty host and
 path, no rule and verdict allow; repeated rows give one row each; an empty
@@ -47,6 +47,8 @@ PATTERN_RULES = [
     (r"[./-]porn[./-]", ["porn"]),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rules that may be broadcast; a larger table is joined by its tokens.
+MOST_RULES = 50_000
 RULES = "rule string, pattern string, tokens array<string>, verdict string, base boolean"
 _PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
@@ -103,6 +105,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     address = F.concat("host", "path")
     tokens = rows.select("url", address.alias("address"), F.explode(url_tokens(address)).alias("token"))
     index = rule_index(tokens, rules)
+    if rules.count() <= MOST_RULES:  # the index has a row per rule
+        index = F.broadcast(index)
     hits = (tokens.join(index, "token")
             .where(F.regexp_like(F.when(F.col("base"), F.col("address")).otherwise(
                 F.translate("address", UPPER, LOWER)), F.col("pattern"))))

@@ -69,18 +69,18 @@ class MergeAutomaton:
         self.removed: dict[int, int] = {}
         self.size, self.arcs_kept = size, arcs_kept
         self.table: dict[int, bool] = {}
-        dead = []
+        dead: set[int] = set()
         for rank, (a, b) in enumerate(merges):
             x, y, c = self.ids[a], self.ids[b], self.ids[a + b]
-            if self.turn[c] >= 0 or not self._step_back(x, y, 2 * rank):
-                if self.turn[c] < 0:
-                    dead.append(a + b)
+            if self.turn[c] >= 0:
                 continue
+            if x in dead or y in dead or not self._step_back(x, y, 2 * rank):
+                dead.add(c)
+                continue
+            dead.discard(c)
             self.turn[c], self.copied[c], self.through[c] = 2 * rank, y, x
             self.removed[x * size + y] = 2 * rank
-        for s in dead:
-            if self.turn[self.ids[s]] < 0:
-                del self.ids[s]
+        self.ids = {s: i for s, i in self.ids.items() if i not in dead}
         self.longest = max(map(len, self.ids), default=0)
 
     def _step_back(self, x: int, y: int, time: int) -> bool:

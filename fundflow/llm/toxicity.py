@@ -54,9 +54,11 @@ IMITATES = {
 SEPARATORS = " .-_*~'·,/"
 #: Channel costs in nats: imitation, dropped separator, dropped repeat, a sign kept.
 IMITATE, DROP, REPEAT, KEEP = 0.7, 0.3, 0.3, 6.0
+#: Weight of the lexicon in the character model, as a share of the corpus.
+ENTRIES_SHARE = 0.2
 _EDGE = ".,;:!?\"'()[]{}<>#%&*|$~`^_=+/\\-…«»“”’"
 _SIGN = re.escape("".join(IMITATES))
-_DISGUISED = re.compile(rf"[^\W\d_].*[{_SIGN}]|[{_SIGN}].*[^\W\d_]|(.)\1\1|^\w([.\-_*~'·,/]\w)+$")
+_DISGUISED = re.compile(rf"[^\W\d_].*[{_SIGN}]|[{_SIGN}].*[^\W\d_]|(.)\1\1|^\w([ .\-_*~'·,/]\w)+$")
 _ALONE = re.compile(rf"(?<![^\s])(?:[\w{_SIGN}][ .\-_*~]){{2,}}[\w{_SIGN}](?![^\s.,;:!?])")
 
 ALPHABET = 40
@@ -99,11 +101,13 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
 
 class Channel:
-    """Restores disguised tokens; ``entries`` are words the character model should know besides the corpus."""
+    """Restores disguised tokens; ``entries`` are words that the character model knows besides the
+    corpus, together with ENTRIES_SHARE of its weight (what is disguised is often one of them)."""
 
     def __init__(self, counts: np.ndarray, entries: Iterable[str] = ()):
         n = counts.astype(float).copy()
-        extra = max(n.sum(), 1.0) * 1e-4
+        entries = list(entries)
+        extra = ENTRIES_SHARE * max(n.sum(), 1.0) / max(1, sum(len(w) + 2 for w in entries))
         for w in entries:
             c = [0, 0, *map(letter_class, w), 0, 0]
             for a, b, d in zip(c, c[1:], c[2:]):

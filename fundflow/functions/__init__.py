@@ -55,15 +55,18 @@ def money(c, data_type: T.DataType | None = None, safe: bool = False) -> Column:
 
 # --- X12: block time text -> epoch milliseconds -----------------------------
 _EPOCH_NTZ = "1970-01-01 00:00:00"
+# date, hours and minutes, seconds, fraction, zone
+_TIME_TEXT = (r"^(\d{4}-\d\d-\d\d)(?:[T ](\d\d:\d\d)(:\d\d)?(?:[.](\d{1,9}))?"
+              r"\s*((?i:UTC|GMT|Z)|[+-]\d\d:?\d\d)?)?$")
 
 
 def parse_block_time(c, data_type: T.DataType | None = None) -> Column:
     """Epoch ms of a block time; null when it cannot be read.
 
-    Text is read with an explicit zone (``... UTC``), so the session zone
-    does not shift it; text without millis and ISO-8601 text with an offset
-    (``2024-01-01T10:00:00Z``) are read too.  Timestamps without zone are
-    taken as UTC.
+    Text is a date, or a date and a time parted by a blank or ``T``; seconds
+    and a fraction of 1 to 9 digits (cut to ms) are optional, and so is a zone
+    (``UTC``, ``GMT``, ``Z`` or an offset).  Without a zone, text and
+    timestamps are taken as UTC; the session zone never matters.
     """
     col = as_column(c)
     if isinstance(data_type, T.TimestampNTZType):
@@ -73,11 +76,15 @@ def parse_block_time(c, data_type: T.DataType | None = None) -> Column:
     if isinstance(data_type, T.DateType):
         return F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit(_EPOCH_NTZ)),
                                 col.cast("timestamp_ntz"))
-    return F.unix_millis(F.coalesce(
-        F.try_to_timestamp(col, F.lit(C.BLOCK_TIME_PATTERN)),
-        F.try_to_timestamp(col, F.lit("yyyy-MM-dd HH:mm:ss z")),
-        F.try_to_timestamp(col, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")),
-    ))
+    text = F.trim(col)
+    part = lambda k: F.regexp_extract(text, _TIME_TEXT, k)
+    zone = F.regexp_replace(F.upper(part(5)), r"^(?:UTC|GMT|Z)?$", "+00:00")
+    clock = F.concat(part(1), F.lit(" "), F.coalesce(F.nullif(part(2), F.lit("")), F.lit("00:00")),
+                     F.coalesce(F.nullif(part(3), F.lit("")), F.lit(":00")), F.lit("."),
+                     F.rpad(part(4), 3, "0"), F.regexp_replace(zone, r"^([+-]\d\d)(\d\d)$", "$1:$2"))
+    return F.unix_millis(F.when(text.rlike(_TIME_TEXT),
+                                F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm:ss.SSSXXX")))
+                         .otherwise(F.try_to_timestamp(text, F.lit(C.BLOCK_TIME_PATTERN))))  # named zones
 
 
 def ms_to_ntz(ms) -> Column:

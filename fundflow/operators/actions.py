@@ -6,12 +6,14 @@
   transaction that calls a vault (F2 + J1); one output row per matching
   transaction, as an inner join gives.
 
-Default plan (``single_scan``): the transfer table is scanned once with the
-pushed filter ``(from IN W AND to IN W) OR to IN V``; vault calls are
-pre-aggregated to ``(hash, from, to, n_calls)`` and left-joined; each kept
-transfer then emits one ``mutual_transfer`` row if mutual and ``n_calls``
-``thorchain_launder`` rows.  That is the same bag as the two-branch union
-(``plan="union"``), with one scan of the big table instead of two.
+Default plan (``union``): one branch per label.  Each branch filters its
+scan by the lists (``In`` filters reach Parquet while a list is short and
+the keys are stored lower-case; semi-joins otherwise), so rows drop before
+any exchange and only vault candidates enter the exit join.
+
+``plan="single_scan"`` reads the transfer table once, flags every row and
+left-joins pre-aggregated vault calls.  It gives the same bag; it pays when
+the scan costs more than carrying mutual rows through the join.
 """
 from __future__ import annotations
 
@@ -50,15 +52,17 @@ def exit_transfers(transfers: DataFrame, transactions: DataFrame, vaults) -> Dat
     P3: the transaction side is cut to its three keys before the join, so
     the transfer's ``block_time`` is the one kept.
     """
-    calls = vault_calls(transactions, vaults).select(
+    v = _membership(vaults)
+    calls = vault_calls(transactions, v).select(
         F.col("hash").alias("_c_hash"), F.col("from").alias("_c_from"), F.col("to").alias("_c_to"))
+    transfers = v.semi(transfers, "to_address")  # the join would drop the others later
     cond = ((F.col("tx_hash") == F.col("_c_hash")) & (F.col("from_address") == F.col("_c_from"))
             & (F.col("to_address") == F.col("_c_to")))
     return with_label(transfers.join(calls, cond, "inner"), C.LABEL_EXIT)
 
 
 def actions(transfers: DataFrame, transactions: DataFrame, watchlist, vaults,
-            plan: str = "single_scan") -> DataFrame:
+            plan: str = "union") -> DataFrame:
     """Mutual transfers plus exit transfers (bag union, 7 columns)."""
     w, v = _membership(watchlist), _membership(vaults)
     if plan == "union":

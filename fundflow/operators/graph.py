@@ -129,8 +129,11 @@ def nodes(actions: DataFrame, roles: DataFrame, with_usd: bool = False) -> DataF
 
 
 def role_counts(nodes_df: DataFrame) -> DataFrame:
-    """Wallets per role."""
-    return nodes_df.groupBy("role").agg(F.count(F.lit(1)).alias("wallets"))
+    """Wallets per role; a known role without wallets has 0."""
+    known = nodes_df.sparkSession.createDataFrame(
+        [(r,) for r in (*C.ROLE_PRIORITY, C.ROLE_DEFAULT)], "role string").withColumn("_one", F.lit(0))
+    seen = nodes_df.select("role", F.lit(1).alias("_one"))
+    return seen.unionByName(known).groupBy("role").agg(F.sum("_one").cast("bigint").alias("wallets"))
 
 
 def graph_summary(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
@@ -164,9 +167,13 @@ def edges(actions: DataFrame) -> DataFrame:
 def special_roles(nodes_df: DataFrame) -> DataFrame:
     """Wallets whose role is not the default, as ``(address, role)``.
 
-    Only listed wallets (attackers, vaults, hops) carry such a role, so this
-    relation is as small as the role lists; it is broadcast after a check.
+    ``nodes_df`` is the role list ``(address, role, priority)`` itself, or
+    the graph's nodes.  Only listed wallets (attackers, vaults, hops) carry
+    such a role, so this relation is as small as the role lists; it is
+    broadcast after a check.  The list needs no wallet totals.
     """
+    if "priority" in nodes_df.columns:
+        return _roles_side(nodes_df)
     r = nodes_df.where(F.col("role") != C.ROLE_DEFAULT).select(F.col("id").alias("address"), "role")
     return F.broadcast(r) if rows_at_most(r, C.BROADCAST_MAX_ROWS) else r
 
@@ -186,9 +193,9 @@ def with_roles(df: DataFrame, nodes_df: DataFrame, *pairs: tuple[str, str]) -> D
     return df
 
 
-def edges_with_roles(edges_df: DataFrame, nodes_df: DataFrame) -> DataFrame:
-    """Each edge with its sender's and receiver's role."""
-    return with_roles(edges_df, nodes_df, ("from", "from_role"), ("to", "to_role"))
+def edges_with_roles(edges_df: DataFrame, roles: DataFrame) -> DataFrame:
+    """Each edge with its sender's and receiver's role (from the role list, or nodes)."""
+    return with_roles(edges_df, roles, ("from", "from_role"), ("to", "to_role"))
 
 
 # --- F5-F7: look-ups ------------------------------------------------------------

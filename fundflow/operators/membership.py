@@ -5,7 +5,8 @@
 * up to ``BROADCAST_MAX_ROWS`` rows: a broadcast hash join (semi or flag);
 * beyond: a shuffled join, picked by Catalyst/AQE.
 
-The size check reads at most ``limit + 1`` rows of the list relation.
+An in-list forced on a longer list raises instead of cutting it.  The size
+check is a count (one row per task).
 """
 from __future__ import annotations
 
@@ -26,9 +27,12 @@ class Membership:
             F.col("address").isNotNull())
         self.values: list[str] | None = None
         if mode in ("auto", "inlist"):
-            rows = self.relation.limit(inlist_max + 1).collect()
-            if len(rows) <= inlist_max or mode == "inlist":
-                self.values = sorted({r[0] for r in rows})
+            n = self.relation.count()
+            if mode == "inlist" and n > inlist_max:
+                raise ValueError(f"the list has more than {inlist_max} values; use mode 'broadcast', "
+                                 "'shuffle' or 'auto'")
+            if n <= inlist_max:
+                self.values = sorted({r[0] for r in self.relation.collect()})
                 self.mode = "inlist"
                 return
         if mode == "auto":

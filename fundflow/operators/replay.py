@@ -269,8 +269,8 @@ def snapshot(tl: DataFrame, nodes_df: DataFrame, t=None, position: int | None =
     sent = F.col("side_rank") == SEND_RANK
     zero = F.lit(0).cast(C.MONEY_TYPE)
     rows = e.select("address", F.lit(1).alias("_one"),
-                    F.when(sent, F.col("amount")).otherwise(zero).alias("_s"),
-                    F.when(~sent, F.col("amount")).otherwise(zero).alias("_r"))
+                    F.coalesce(F.when(sent, F.col("amount")), zero).alias("_s"),
+                    F.coalesce(F.when(~sent, F.col("amount")), zero).alias("_r"))
     att = _attackers(nodes_df).select("address", F.lit(0).alias("_one"), zero.alias("_s"), zero.alias("_r"))
     per = rows.unionByName(att).groupBy("address").agg(
         F.sum("_one").cast("bigint").alias("txns"),
@@ -286,7 +286,7 @@ def _ceil_div(a: str, b: str) -> Column:
     return F.expr(f"({a} + {b} - 1) div {b}")
 
 
-def frames(tl: DataFrame, nodes_df: DataFrame, n: int = C.FRAME_COUNT) -> DataFrame:
+def frames(tl: DataFrame, nodes_df: DataFrame, n: int = C.FRAME_COUNT, clock: Clock | None = None) -> DataFrame:
     """T3 + T6: replay totals at every slider position 0..n.
 
     Per position: clock time, events consumed, ETH, laundered ETH, wallets
@@ -298,8 +298,10 @@ def frames(tl: DataFrame, nodes_df: DataFrame, n: int = C.FRAME_COUNT) -> DataFr
     settle markers from one ``explode``), one over first sightings of
     wallets.  A cumulative window then runs over the n + 1 grid rows only.
     """
+    if n > C.FRAMES_MAX:  # the grid and its totals are broadcast and windowed in one task
+        raise ValueError(f"at most {C.FRAMES_MAX} frames")
     spark = tl.sparkSession
-    clock = Clock(tl)
+    clock = clock or Clock(tl)
     zero = F.lit(0).cast(C.MONEY_TYPE)
     ev = tl.select(
         ((F.col("ts_ms") - clock.start) * F.lit(n)).alias("_rel"),
@@ -352,7 +354,7 @@ def inflight_at(tl: DataFrame, nodes_df: DataFrame, n: int = C.FRAME_COUNT) -> D
 
 
 # --- T4 -----------------------------------------------------------------------------
-def activation(tl: DataFrame, nodes_df: DataFrame, mode: str = "play") -> DataFrame:
+def activation(tl: DataFrame, nodes_df: DataFrame, mode: str = "play", clock: Clock | None = None) -> DataFrame:
     """T4: when each wallet becomes visible (epoch ms; null = never).
 
     attackers: at the start.  ``play``: first send, or first receipt plus
@@ -361,7 +363,7 @@ def activation(tl: DataFrame, nodes_df: DataFrame, mode: str = "play") -> DataFr
     """
     if mode not in ("play", "scrub"):
         raise ValueError("mode must be 'play' or 'scrub'")
-    clock = Clock(tl)
+    clock = clock or Clock(tl)
     delay = C.SETTLE_MS if mode == "play" else 0
     e = event_endpoints(tl).where(F.col("address").isNotNull())
     t = F.when(F.col("side_rank") == SEND_RANK, F.col("ts_ms")).otherwise(F.col("ts_ms") + F.lit(delay))

@@ -2,8 +2,8 @@
 
 ``running(df, order_by, partition_by, sums)`` adds, for every row, its
 1-based position in ``order_by`` order within its ``partition_by`` group and
-the inclusive running sum of each expression in ``sums``.  It is the engine
-under W1-W6.
+the inclusive running sum of each expression in ``sums`` (null counts as 0).
+It is the engine under W1-W6.
 
 Two physical strategies give the same result:
 
@@ -52,7 +52,8 @@ def running(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
             sums: dict[str, Column] | None = None, seq: str = "seq",
             strategy: str = "auto", partitions: int | None = None) -> DataFrame:
     """``df`` plus ``seq`` (BIGINT, 1-based) and one running sum per ``sums`` entry."""
-    sums = dict(sums or {})
+    # a null counts as 0 in a running sum, in either strategy
+    sums = {name: F.coalesce(e, F.lit(0)) for name, e in (sums or {}).items()}
     partition_by = list(partition_by)
     if strategy == "auto":
         small = largest_group_at_most(df, partition_by, C.LOCAL_WINDOW_MAX_ROWS)

@@ -1,7 +1,7 @@
 """Size checks used before a broadcast or a single-task window.
 
-Each check reads at most ``limit + 1`` rows (or one aggregated row), so it
-bounds its own cost; the decision it feeds is only taken on proven sizes.
+Each check is an aggregation: every task sends one count (or its partial
+counts per group), never rows, so the check itself gathers nothing.
 """
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def rows_at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows."""
-    return df.limit(limit + 1).count() <= limit
+    return df.count() <= limit
 
 
 def largest_group_at_most(df: DataFrame, keys: list, limit: int) -> bool:
@@ -20,9 +20,9 @@ def largest_group_at_most(df: DataFrame, keys: list, limit: int) -> bool:
     With no keys the whole frame is one group.  The grouped count runs with
     partial aggregation, so a hot key does not concentrate rows.
     """
-    if rows_at_most(df, limit):          # early-stopping scan, no shuffle
+    if rows_at_most(df, limit):
         return True
     if not keys:
         return False
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    return big.limit(1).count() == 0
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return largest <= limit

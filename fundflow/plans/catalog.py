@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from .. import functions as X
+from .. import schema as S
 from ..operators import actions as A
 from ..operators import graph as G
 from ..operators import replay as R
 from ..operators.membership import Membership
-from ..session import checkpoint_dir, scratch_path
-from ..sources import fixtures, readers, sinks
+from ..session import scratch_path
+from ..sources import fixtures, lists, readers, sinks
 
 DEFAULT_PROFILE = "scale"
 AS_OF_POSITION = 500      # slider position used by the as-of queries (mid-way)
@@ -45,16 +46,26 @@ class Stages:
 
     @cached_property
     def actions(self) -> DataFrame:
-        """The action table, computed once per query and cut from its lineage.
+        """The action table, as a plan: building a query writes nothing.
 
-        A reliable ``checkpoint()`` in the session's shared checkpoint folder
-        stores it, so the branches of a query (nodes, timeline, size checks,
-        clock bounds) read the stored rows instead of each re-running the
-        scan and joins over the transfer table.
+        The batch jobs (``plans.jobs``) store it instead, once for all their
+        outputs.
         """
         i = self.inputs
-        checkpoint_dir(self.spark)
-        return A.actions(i.transfers, i.transactions, self.watch, self.vault).checkpoint(eager=True)
+        return A.actions(i.transfers, i.transactions, self.watch, self.vault)
+
+    @cached_property
+    def stored(self) -> fixtures.Stored:
+        """The inputs written once with mixed-case keys, text amounts and list files."""
+        return fixtures.store(self.inputs, scratch_path(self.spark, "inputs"))
+
+    @cached_property
+    def scanned_transfers(self) -> DataFrame:
+        return readers.scan_transfers(self.spark, self.stored.transfers, S.TRANSFERS)
+
+    @cached_property
+    def scanned_transactions(self) -> DataFrame:
+        return readers.scan_transactions(self.spark, self.stored.transactions, S.TRANSACTIONS)
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -100,6 +111,45 @@ def _roundtrip_actions(p: Stages) -> DataFrame:
     return readers.scan_actions(p.spark, path)
 
 
+def _written_actions(p: Stages) -> DataFrame:
+    """What the sink stored, by its own footer (S7 reads it with the model's schema)."""
+    path = scratch_path(p.spark, "actions")
+    sinks.write_actions(p.actions, path)
+    return p.spark.read.parquet(path)
+
+
+def _classified(p: Stages) -> DataFrame:
+    """X1 with its literal lists, taken from the role list (bounded by ``C.LITERALS_MAX``)."""
+    rows = lists.roles_from(p.inputs.roles)
+    n = rows.count()
+    if n > C.LITERALS_MAX:
+        raise ValueError(f"{n} listed wallets: look them up (J3) instead of classifying by literals")
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.role, []).append(r.address.upper())
+    return p.nodes.select("id", X.classify("id", by.get(C.ROLE_ATTACKER, ()), by.get(C.ROLE_VAULT, ()),
+                                           by.get(C.ROLE_HOP, ())).alias("role"))
+
+
+def _time_forms(p: Stages) -> DataFrame:
+    """X12 on every text form a block time may have."""
+    bt = F.col("block_time")
+    forms = {
+        "ts_ms": bt, "iso_zulu": F.replace(F.replace(bt, F.lit(" UTC"), F.lit("Z")), F.lit(" "), F.lit("T")),
+        "no_zone": F.substring(bt, 1, 19), "minutes": F.replace(F.substring(bt, 1, 16), F.lit(" "), F.lit("T")),
+        "day": F.substring(bt, 1, 10), "micros": F.concat(F.substring(bt, 1, 19), F.lit(".123456789 UTC")),
+        "tenths": F.concat(F.substring(bt, 1, 19), F.lit(".5Z")), "ahead": F.concat(F.substring(bt, 1, 19), F.lit("+0200")),
+        "unread": F.concat(F.lit("at "), bt),
+    }
+    return p.actions.select("tx_hash", "from_address", "to_address", "block_time",
+                            *[X.parse_block_time(c, T.StringType()).alias(n) for n, c in forms.items()])
+
+
+def _some_null(tl: DataFrame) -> DataFrame:
+    """The timeline with some amounts missing."""
+    return tl.withColumn("amount", F.when(~F.col("hash").endswith("3"), F.col("amount")))
+
+
 def _roundtrip_graph(p: Stages) -> tuple[DataFrame, DataFrame]:
     path = scratch_path(p.spark, "graph")
     sinks.write_graph(p.nodes, p.edges, path)
@@ -116,28 +166,31 @@ def _q(fn: Callable[[Stages], DataFrame]) -> Callable[[SparkSession, str], DataF
 
 QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     # sources / sinks
-    "S1_scan_transfers": lambda p: p.inputs.transfers,
-    "S2_scan_transactions": lambda p: p.inputs.transactions,
-    "S3_watchlist": lambda p: p.inputs.watchlist,
-    "S4_vaults": lambda p: p.inputs.vaults,
-    "S5_roles": lambda p: p.inputs.roles,
-    "S6_write_actions": _roundtrip_actions,
+    "S1_scan_transfers": lambda p: p.scanned_transfers,
+    "S2_scan_transactions": lambda p: p.scanned_transactions,
+    "S3_watchlist": lambda p: lists.watchlist(p.spark, p.stored.watchlist),
+    "S4_vaults": lambda p: lists.vaults(p.spark, p.stored.vaults),
+    "S5_roles": lambda p: lists.roles_from(p.spark.read.parquet(p.stored.roles)),
+    "S6_write_actions": _written_actions,
     "S7_scan_actions": _roundtrip_actions,
     "S8_write_graph": lambda p: _roundtrip_graph(p)[0],
     "S9_read_graph": lambda p: _roundtrip_graph(p)[1],
     "S10_preview": lambda p: sinks.preview(p.actions.orderBy(
         "block_time", "tx_hash", "from_address", "to_address", "amount", "label")),
     # projections / filters
-    "P1_with_label": lambda p: A.mutual_transfers(p.inputs.transfers, p.watch),
+    "P1_with_label": lambda p: A.with_label(p.inputs.transfers, C.LABEL_MUTUAL),
     "P2_action_columns": lambda p: p.actions,
-    "P3_drop_right_time": lambda p: A.exit_transfers(p.inputs.transfers, p.inputs.transactions, p.vault),
-    "P4_cast_amounts": lambda p: p.actions.select(
+    "P3_drop_right_time": lambda p: A.exit_transfers(
+        p.inputs.transfers, p.inputs.transactions.withColumn("block_time", F.lit("another time")), p.vault),
+    "P4_cast_amounts": lambda p: A.actions(p.scanned_transfers, p.scanned_transactions, p.watch, p.vault).select(
         "tx_hash", F.col("amount").cast("double").alias("amount"),
         F.col("amount_usd").cast("double").alias("amount_usd"), "label"),
-    "P5_lower_keys": lambda p: readers.normalize_transfers(p.inputs.transfers).select(
+    "P5_lower_keys": lambda p: readers.normalize_transfers(p.spark.read.parquet(p.stored.transfers)).select(
         "tx_hash", "from_address", "to_address"),
     "P6_edge_projection": lambda p: p.edges,
     "P7_timeline_projection": lambda p: p.timeline,
+    "P7_untimed_count": lambda p: R.untimed_count(p.actions.withColumn(
+        "block_time", F.when(F.col("tx_hash").endswith("7"), F.lit("unknown")).otherwise(F.col("block_time")))),
     "F1_both_endpoints_watched": lambda p: A.mutual_transfers(p.inputs.transfers, p.watch),
     "F2_calls_into_vault": lambda p: A.vault_calls(p.inputs.transactions, p.vault),
     "F3_is_exit": lambda p: R.is_exit(p.timeline),
@@ -152,7 +205,7 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "J2_watch_semi": lambda p: A.mutual_transfers(
         p.inputs.transfers, Membership(p.inputs.watchlist, mode="broadcast")),
     "J3_role_lookup": lambda p: G.role_lookup(G.distinct_wallets(p.actions), p.inputs.roles),
-    "J4_edge_with_roles": lambda p: G.edges_with_roles(p.edges, p.nodes),
+    "J4_edge_with_roles": lambda p: G.edges_with_roles(p.edges, p.inputs.roles),
     # aggregations
     "A1_total_sent": lambda p: G.total_sent(p.actions),
     "A2_total_received": lambda p: G.total_received(p.actions),
@@ -170,10 +223,13 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "W2_global_sequence": lambda p: R.global_sequence(p.timeline),
     "W3_running_totals": lambda p: R.running_totals(p.timeline),
     "W4_running_wallet_totals": lambda p: R.running_wallet_totals(p.timeline),
+    "W3_null_amounts": lambda p: R.running_totals(_some_null(p.timeline)),
+    "W4_null_amounts": lambda p: R.running_wallet_totals(_some_null(p.timeline)),
     "W5_first_appearance": lambda p: R.first_appearance(p.timeline),
     "W6_lane_index": lambda p: R.lane_index(p.timeline, p.nodes),
     # replay / as-of
     "T1_snapshot": lambda p: R.snapshot(p.timeline, p.nodes, position=AS_OF_POSITION),
+    "T1_null_amounts": lambda p: R.snapshot(_some_null(p.timeline), p.nodes, position=AS_OF_POSITION),
     "T2_totals_at": lambda p: R.totals_at(p.timeline, p.nodes, position=AS_OF_POSITION),
     "T3_frames": lambda p: R.frames(p.timeline, p.nodes),
     "T4_activation_play": lambda p: R.activation(p.timeline, p.nodes, "play"),
@@ -188,14 +244,16 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "U1_actions": lambda p: p.actions,
     "U2_endpoints": lambda p: G.endpoints(p.actions),
     # scalar functions
-    "X1_classify": lambda p: p.nodes.select("id", "role"),
+    "X1_classify": _classified,
     "X2_short_address": lambda p: p.nodes.select("id", "short"),
     "X3_address_tag": lambda p: p.nodes.select("id", X.address_tag("id").alias("tag")),
     "X4_role_title": lambda p: p.nodes.select("id", "role", X.role_title("role").alias("title")),
     "X5_role_legend": lambda p: p.nodes.select("id", "role", X.role_legend("role").alias("legend")),
     "X6_pair_key": lambda p: p.timeline.select("hash", "from", "to", X.pair_key("from", "to").alias("pair_key")),
     "X7_edge_weight": lambda p: p.timeline.select("hash", "from", "to", X.edge_weight("amount").alias("weight")),
-    "X8_curvature": lambda p: R.pair_sequence(p.timeline).select("hash", "from", "to", "pair_seq", "curvature"),
+    "X8_curvature": lambda p: p.timeline.select(
+        "hash", "from", "to", X.pair_curvature(F.expr("(ts_ms div 60000) % 1000")).alias("pair_curve"),
+        X.global_curvature(F.expr("(ts_ms div 60000) % 1000")).alias("global_curve")),
     "X9_round_money": lambda p: p.edges.select("tx_hash", "from", "to", "amount_eth", "amount_usd"),
     "X10_round_whole": lambda p: p.nodes.select(
         "id", X.round_whole("total_sent").alias("sent_whole"),
@@ -203,9 +261,7 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "X11_amount_text": lambda p: p.timeline.select(
         "hash", "from", "to", X.amount_text("amount", 2).alias("text_2dp"),
         X.amount_text("amount", 4).alias("text_4dp")),
-    "X12_parse_time": lambda p: p.actions.select(
-        "tx_hash", "from_address", "to_address", "block_time",
-        X.parse_block_time("block_time", T.StringType()).alias("ts_ms")),
+    "X12_parse_time": _time_forms,
     "X13_time_text": lambda p: p.timeline.select("hash", "from", "to", "ts_ms",
                                                  X.time_text("ts_ms").alias("time_text")),
 }

@@ -2,17 +2,27 @@
 
 ``extract``  transfers + transactions -> ``<out>/actions`` (Parquet), then a
              5-row preview read back from the written data (no recompute).
-``graph``    actions -> ``<out>/graph/{nodes,edges}`` (JSON lines), role
-             counts and totals printed.
+``graph``    actions -> ``<out>/tables/{nodes,edges}`` (Parquet, which replay
+             reads) and ``<out>/graph/{nodes,edges}`` (JSON lines, an export);
+             role counts and totals printed.
 ``replay``   actions -> ``<out>/replay/{timeline,frames,activation,running,
              pair_sequence,lanes}`` (Parquet).  The timeline is written once
              and read back, so every replay output starts from a stored table
-             instead of re-running the extraction.
+             instead of re-running the extraction; its clock is read once.
+             Events whose time can't be read are counted and printed.
 ``all``      the three in a row.
 
-The watch-list, vault and role lists default to the traced case's lists
-(``sources.presets``); pass ``--watchlist/--vaults/--attackers/--hops`` with a
-Parquet path or a text file (one address per line) to use others.
+Without any list the traced case's lists (``sources.presets``) are used.  As
+soon as one of ``--watchlist/--vaults/--attackers/--hops`` is given (a Parquet
+path, a CSV with an ``address`` column or a text file with one address per
+line), lists that are not given are empty.
+
+Keys of unknown case are normalised once: the inputs are written lower-case
+to ``<out>/inputs`` and read from there, so the list filters reach Parquet.
+With ``--lower-keys`` the inputs are known to be lower-case and are read in
+place.
+
+Checkpoints go to ``spark.checkpoint.dir``, or to ``<out>/checkpoints``.
 
 Example::
 
@@ -28,6 +38,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import schema as S
 from ..operators import actions as A
 from ..operators import graph as G
 from ..operators import replay as R
@@ -35,16 +46,28 @@ from ..session import get_session
 from ..sources import lists, presets, readers, sinks
 
 
-def _list(spark: SparkSession, given, default):
-    return lists.address_relation(spark, given if given else default)
+def _list(spark: SparkSession, given, default, any_given: bool):
+    return lists.address_relation(spark, given or (() if any_given else default))
+
+
+def lowered_inputs(spark: SparkSession, transfers_path: str, transactions_path: str, out: str,
+                   lower_keys: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both inputs with lower-case keys as stored, so filters on keys are pushed to the scan."""
+    if not lower_keys:
+        folder = f"{out}/inputs"
+        readers.scan_transfers(spark, transfers_path).write.mode("overwrite").parquet(f"{folder}/transfers")
+        readers.scan_transactions(spark, transactions_path).write.mode("overwrite").parquet(f"{folder}/transactions")
+        transfers_path, transactions_path = f"{folder}/transfers", f"{folder}/transactions"
+    return (readers.scan_transfers(spark, transfers_path, lower_keys=False),
+            readers.scan_transactions(spark, transactions_path, lower_keys=False))
 
 
 def extract(spark: SparkSession, transfers_path: str, transactions_path: str, out: str,
-            watchlist=None, vaults=None) -> DataFrame:
-    transfers = readers.scan_transfers(spark, transfers_path)
-    transactions = readers.scan_transactions(spark, transactions_path)
-    w = _list(spark, watchlist, presets.WATCHLIST)
-    v = _list(spark, vaults, presets.VAULTS)
+            watchlist=None, vaults=None, lower_keys: bool = False, any_given: bool | None = None) -> DataFrame:
+    any_given = bool(watchlist or vaults) if any_given is None else any_given
+    transfers, transactions = lowered_inputs(spark, transfers_path, transactions_path, out, lower_keys)
+    w = _list(spark, watchlist, presets.WATCHLIST, any_given)
+    v = _list(spark, vaults, presets.VAULTS, any_given)
     sinks.write_actions(A.actions(transfers, transactions, w, v), f"{out}/actions")
     written = readers.scan_actions(spark, f"{out}/actions")
     sinks.preview(written).show(truncate=False)
@@ -52,26 +75,36 @@ def extract(spark: SparkSession, transfers_path: str, transactions_path: str, ou
 
 
 def build_graph(spark: SparkSession, out: str, attackers=None, vaults=None,
-                hops=None) -> tuple[DataFrame, DataFrame]:
+                hops=None, any_given: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    any_given = bool(attackers or vaults or hops) if any_given is None else any_given
     actions = readers.scan_actions(spark, f"{out}/actions")
-    roles = lists.roles(spark, attackers=attackers or presets.ATTACKERS,
-                        vaults=vaults or presets.VAULTS, hops=hops or presets.HOPS)
-    nodes, edges = G.nodes(actions, roles), G.edges(actions)
+    given = {"attackers": attackers, "vaults": vaults, "hops": hops}
+    if not any_given:
+        given = {"attackers": presets.ATTACKERS, "vaults": presets.VAULTS, "hops": presets.HOPS}
+    roles = lists.roles(spark, **given)
+    G.nodes(actions, roles).write.mode("overwrite").parquet(f"{out}/tables/nodes")
+    G.edges(actions).write.mode("overwrite").parquet(f"{out}/tables/edges")
+    nodes, edges = graph_tables(spark, out)
     sinks.write_graph(nodes, edges, f"{out}/graph")
-    nodes, edges = readers.read_graph(spark, f"{out}/graph")
     G.graph_summary(nodes, edges).show(truncate=False)
     return nodes, edges
 
 
+def graph_tables(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    return (spark.read.schema(S.NODES).parquet(f"{out}/tables/nodes"),
+            spark.read.schema(S.EDGES).parquet(f"{out}/tables/edges"))
+
+
 def replay(spark: SparkSession, out: str) -> None:
-    nodes, edges = readers.read_graph(spark, f"{out}/graph")
+    nodes, edges = graph_tables(spark, out)
     base = f"{out}/replay"
     R.timeline_order(R.timeline(edges)).write.mode("overwrite").parquet(f"{base}/timeline")
     tl = spark.read.parquet(f"{base}/timeline")
+    clock = R.Clock(tl)
     outputs = {
-        "frames": R.frames(tl, nodes),
-        "activation_play": R.activation(tl, nodes, "play"),
-        "activation_scrub": R.activation(tl, nodes, "scrub"),
+        "frames": R.frames(tl, nodes, clock=clock),
+        "activation_play": R.activation(tl, nodes, "play", clock),
+        "activation_scrub": R.activation(tl, nodes, "scrub", clock),
         "running": R.running_totals(tl),
         "pair_sequence": R.pair_sequence(tl),
         "wallet_running": R.running_wallet_totals(tl),
@@ -80,6 +113,7 @@ def replay(spark: SparkSession, out: str) -> None:
     for name, df in outputs.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")
     R.flow_totals(tl, nodes).show(truncate=False)
+    print(f"events without a readable time: {R.untimed_count(edges).first().untimed or 0}")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -92,15 +126,19 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--vaults")
     ap.add_argument("--attackers")
     ap.add_argument("--hops")
+    ap.add_argument("--lower-keys", action="store_true", help="the inputs' keys are lower-case as stored")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = get_session("fundflow", master=a.master)
+    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(f"{a.out}/checkpoints")
+    given = bool(a.watchlist or a.vaults or a.attackers or a.hops)
     if a.command in ("extract", "all"):
         if not (a.transfers and a.transactions):
             ap.error("extract needs --transfers and --transactions")
-        extract(spark, a.transfers, a.transactions, a.out, a.watchlist, a.vaults)
+        extract(spark, a.transfers, a.transactions, a.out, a.watchlist, a.vaults, a.lower_keys, given)
     if a.command in ("graph", "all"):
-        build_graph(spark, a.out, a.attackers, a.vaults, a.hops)
+        build_graph(spark, a.out, a.attackers, a.vaults, a.hops, given)
     if a.command in ("replay", "all"):
         replay(spark, a.out)
     return 0

@@ -23,6 +23,8 @@ def _adapter(profile: str) -> str:
     vault_rule = (f"s_suppkey % {p['vault_mod']} = 0" if p["vault_mod"] is not None
                   else f"s_suppkey < {p['vault_cap']}")
     receiver = "l_partkey" if p["receiver_mod"] is None else f"l_partkey % {p['receiver_mod']}"
+    role_cap = f" AND c_custkey <= {p['role_cap']}" if p["role_cap"] is not None else ""
+    hop = "c_custkey = 0" if p["hop_step"] is None else f"c_custkey % {p['hop_step']} = 0"
     btime = ("strftime(o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)), "
              "'%Y-%m-%d %H:%M:%S') || '.000 UTC'")
     return f"""
@@ -35,9 +37,9 @@ roles AS (
   SELECT address, 'thorchain' AS role, 2 AS priority FROM vaults
   UNION ALL
   SELECT {wallet.format(k='c_custkey')},
-         CASE WHEN c_custkey = 0 THEN 'pre-inter' ELSE 'attacker' END,
-         CASE WHEN c_custkey = 0 THEN 3 ELSE 1 END
-  FROM customer WHERE c_custkey % 5 = 0 AND c_custkey <= 25),
+         CASE WHEN {hop} THEN 'pre-inter' ELSE 'attacker' END,
+         CASE WHEN {hop} THEN 3 ELSE 1 END
+  FROM customer WHERE c_custkey % {p['role_step']} = 0{role_cap}),
 transfers AS (
   SELECT {hsh.format(k='l_orderkey')} AS tx_hash,
          {btime} AS block_time,
@@ -51,8 +53,8 @@ transactions AS (
   SELECT {hsh.format(k='o_orderkey')} AS hash,
          {btime} AS block_time,
          {wallet.format(k='o_custkey')} AS "from",
-         {vault.format(k='sk')} AS "to"
-  FROM orders JOIN (SELECT l_orderkey, min(l_suppkey) AS sk FROM lineitem
+         CASE WHEN sk IS NULL THEN {wallet.format(k='o_custkey')} ELSE {vault.format(k='sk')} END AS "to"
+  FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS sk FROM lineitem
                     WHERE l_returnflag = 'R' GROUP BY l_orderkey) m
     ON l_orderkey = o_orderkey)"""
 
@@ -229,7 +231,7 @@ BODIES: dict[str, str] = {
     "S9_read_graph": _EDGES,
     "S10_preview": _ACTIONS.format(src="actions")
     + " ORDER BY block_time, tx_hash, from_address, to_address, amount, label LIMIT 5",
-    "P1_with_label": _ACTIONS.format(src="mutual"),
+    "P1_with_label": _ACTIONS.replace("label", "'mutual_transfer' AS label").format(src="transfers"),
     "P2_action_columns": _ACTIONS.format(src="actions"),
     "P3_drop_right_time": _ACTIONS.format(src="exits"),
     "P4_cast_amounts": ("SELECT tx_hash, CAST(amount AS DOUBLE) AS amount, "
@@ -238,6 +240,7 @@ BODIES: dict[str, str] = {
                       "lower(to_address) AS to_address FROM transfers"),
     "P6_edge_projection": _EDGES,
     "P7_timeline_projection": _TL.format(src="tl"),
+    "P7_untimed_count": "SELECT count(*) AS untimed FROM actions WHERE right(tx_hash, 1) = '7'",
     "F1_both_endpoints_watched": _ACTIONS.format(src="mutual"),
     "F2_calls_into_vault": 'SELECT hash, block_time, "from", "to" FROM calls',
     "F3_is_exit": _TL.format(src="tl") + " WHERE label = 'thorchain_launder'",
@@ -268,7 +271,10 @@ FROM edges e LEFT JOIN nodes a ON e."from" = a.id LEFT JOIN nodes b ON e."to" =
     "A3_tx_count": "SELECT address, tx_count FROM stats",
     "A4_wallet_stats": _NODES,
     "A5_distinct_wallets": "SELECT DISTINCT address FROM ends WHERE address IS NOT NULL",
-    "A6_role_counts": "SELECT role, count(*) AS wallets FROM nodes GROUP BY role",
+    "A6_role_counts": """
+SELECT r.role, count(n.id) AS wallets
+FROM (VALUES ('attacker'), ('thorchain'), ('pre-inter'), ('inter')) r(role) LEFT JOIN nodes n ON n.role = r.role
+GROUP BY r.role""",
     "A7_graph_summary": """
 SELECT count(*) AS wallets,
        CAST(coalesce(sum(CASE WHEN role = 'attacker' THEN 1 ELSE 0 END), 0) AS BIGINT) AS attacker_wallets,
@@ -353,7 +359,10 @@ FROM tl, bounds""",
 SELECT hash, "from", "to",
        least(CAST(0.5 AS DOUBLE) + CAST(amount AS DOUBLE) / CAST(400 AS DOUBLE), CAST(3 AS DOUBLE)) AS weight
 FROM tl""",
-    "X8_curvature": f'SELECT hash, "from", "to", pair_seq, curvature FROM ({_W1})',
+    "X8_curvature": """
+SELECT hash, "from", "to", CAST(30 + (n * 12) % 180 AS BIGINT) AS pair_curve,
+       CAST(30 + (n * 17) % 150 AS BIGINT) AS global_curve
+FROM (SELECT *, (ts_ms // 60000) % 1000 AS n FROM tl)""",
     "X9_round_money": 'SELECT tx_hash, "from", "to", amount_eth, amount_usd FROM edges',
     "X10_round_whole": f"""
 SELECT id, {_whole('total_sent')} AS sent_whole, format('{{:,}}', {_whole('total_received')}) AS received_text
@@ -362,14 +371,35 @@ FROM nodes""",
 SELECT hash, "from", "to", {_money_text('amount', 2)} AS text_2dp, {_money_text('amount', 4)} AS text_4dp
 FROM tl""",
     "X12_parse_time": """
-SELECT tx_hash, from_address, to_address, block_time,
-       epoch_ms(strptime(replace(block_time, ' UTC', ''), '%Y-%m-%d %H:%M:%S.%g')) AS ts_ms
-FROM actions""",
+SELECT tx_hash, from_address, to_address, block_time, ts AS ts_ms, ts AS iso_zulu, ts AS no_zone,
+       ts - ts % 60000 AS minutes, ts - ts % 86400000 AS day, ts + 123 AS micros, ts + 500 AS tenths, ts - 7200000 AS ahead,
+       CAST(NULL AS BIGINT) AS unread
+FROM (SELECT *, epoch_ms(strptime(replace(block_time, ' UTC', ''), '%Y-%m-%d %H:%M:%S.%g')) AS ts FROM actions)""",
     "X13_time_text": """
 SELECT hash, "from", "to", ts_ms, strftime(epoch_ms(ts_ms), '%b %d %H:%M') AS time_text FROM tl""",
 }
 
 
+_NULL_TL = """(SELECT "from", "to", CASE WHEN right(hash, 1) = '3' THEN NULL ELSE amount END AS amount, ts_ms, label, hash
+      FROM {src})"""
+
+
+def _with_nulls(key: str, *sources: str) -> str:
+    """The body of ``key`` over amounts of which some are null; a null counts as 0 in sums."""
+    body = BODIES[key]
+    for src in sources:
+        body = body.replace(f"FROM {src} ", f"FROM {_NULL_TL.format(src=src)} {src} ")
+    body = body.replace("sum(amount)", "sum(coalesce(amount, 0))").replace("THEN amount ELSE", "THEN coalesce(amount, 0) ELSE")
+    return body.replace("sum(s)", "sum(coalesce(s, 0))").replace("sum(r)", "sum(coalesce(r, 0))")
+
+
+BODIES["W3_null_amounts"] = _with_nulls("W3_running_totals", "tl")
+BODIES["W4_null_amounts"] = _with_nulls("W4_running_wallet_totals").replace("FROM tl_ends WHERE", """FROM (
+  SELECT address, side_rank, "from", "to", CASE WHEN right(hash, 1) = '3' THEN NULL ELSE amount END AS amount,
+         ts_ms, label, hash FROM tl_ends) WHERE""")
+BODIES["T1_null_amounts"] = _with_nulls("T1_snapshot").replace("FROM seen", f"FROM {_NULL_TL.format(src='seen')}")
+
+
 def exact_double_casts(sql: str) -> str:
     """Rewrite ``CAST(x AS DOUBLE)`` as ``CAST(CAST(x AS VARCHAR) AS DOUBLE)``.
 

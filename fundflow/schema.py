@@ -7,6 +7,10 @@ TRANSFER_COLUMNS = ["tx_hash", "block_time", "from_address", "to_address", "amou
 TRANSACTION_COLUMNS = ["hash", "block_time", "from", "to"]
 ACTION_COLUMNS = TRANSFER_COLUMNS + ["label"]
 
+# Inputs as stored: amounts and times may also be numbers and timestamps.
+TRANSFERS = T.StructType([T.StructField(c, T.StringType()) for c in TRANSFER_COLUMNS])
+TRANSACTIONS = T.StructType([T.StructField(c, T.StringType()) for c in TRANSACTION_COLUMNS])
+
 ACTIONS = T.StructType([
     T.StructField("tx_hash", T.StringType()),
     T.StructField("block_time", T.StringType()),

@@ -32,11 +32,18 @@ def get_session(app: str = "fundflow", master: str | None = None,
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir`` or the context's setting);
-    only when neither is set (local tests) a fresh local folder is used.
+    Read from the session (``spark.checkpoint.dir`` or the context's setting).
+    With a local master and neither set (tests) a fresh local folder is used;
+    on a cluster a missing setting raises, because a folder of one machine
+    is lost with it and unseen by the others.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not conf and not is_local(sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf:
         conf = tempfile.mkdtemp(prefix="fundflow-ckpt-")
     sc.setCheckpointDir(conf)

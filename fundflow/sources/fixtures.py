@@ -2,7 +2,9 @@
 
 Mapping: order -> transaction, order line -> transfer (an internal trace of
 that transaction), customer -> wallet, supplier -> vault-range address.
-Returned lines pay a vault-range address; other lines pay a wallet.
+Returned lines pay a vault-range address; other lines pay a wallet.  Every
+order is a transaction: it calls the vault of its first returned line, or
+its own wallet if no line was returned.
 Times are the order date plus ``orderkey % 1440`` minutes.
 
 Two profiles:
@@ -12,11 +14,12 @@ Two profiles:
   150 wallets, four vaults (suppliers 0-3).  ``actions`` then hardly grows
   with the scale factor.
 * ``scale`` lifts the caps so every derived table grows with the inputs:
-  every fifth customer is watch-listed, the receiver is the part key, and
-  every 25th supplier is a vault.
+  every fifth customer is watch-listed, the receiver is the part key, every
+  25th supplier is a vault, every 100th customer a hop wallet and the other
+  multiples of 25 are attackers.
 
-Both profiles use 5 attackers (customers 5, 10, 15, 20, 25) and 1 hop
-wallet (customer 0).
+The ``reference`` profile has 5 attackers (customers 5, 10, 15, 20, 25) and 1
+hop wallet (customer 0); only tests use it.
 """
 from __future__ import annotations
 
@@ -28,9 +31,12 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 PROFILES = {
-    # watch cap (exclusive, None = none), receiver modulus (None = part key), vault rule
-    "reference": {"watch_cap": 600, "receiver_mod": 150, "vault_mod": None, "vault_cap": 4},
-    "scale": {"watch_cap": None, "receiver_mod": None, "vault_mod": 25, "vault_cap": None},
+    # watch cap (exclusive, None = none), receiver modulus (None = part key), vault rule,
+    # listed people: every role_step-th customer (up to role_cap), hops every hop_step-th (None: the first)
+    "reference": {"watch_cap": 600, "receiver_mod": 150, "vault_mod": None, "vault_cap": 4,
+                  "role_step": 5, "role_cap": 25, "hop_step": None},
+    "scale": {"watch_cap": None, "receiver_mod": None, "vault_mod": 25, "vault_cap": None,
+              "role_step": 25, "role_cap": None, "hop_step": 100},
 }
 
 
@@ -104,12 +110,12 @@ def load(spark: SparkSession, sf_dir: str, profile: str = "scale") -> Inputs:
     first_vault = (lineitem.where(F.col("l_returnflag") == "R")
                    .groupBy("l_orderkey").agg(F.min("l_suppkey").alias("sk")))
     transactions = (
-        o.join(first_vault, F.col("l_orderkey") == F.col("o_orderkey"))
+        o.join(first_vault, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .select(
             tx_hash(F.col("o_orderkey")).alias("hash"),
             block_time(F.col("o_orderdate"), F.col("o_orderkey")).alias("block_time"),
             wallet_address(F.col("o_custkey")).alias("from"),
-            vault_address(F.col("sk")).alias("to"),
+            F.coalesce(vault_address(F.col("sk")), wallet_address(F.col("o_custkey"))).alias("to"),
         )
     )
 
@@ -121,8 +127,11 @@ def load(spark: SparkSession, sf_dir: str, profile: str = "scale") -> Inputs:
     vaults = supplier.where(_is_vault(F.col("s_suppkey"), p)).select(
         vault_address(F.col("s_suppkey")).alias("address"))
 
-    hop = F.col("c_custkey") == 0
-    people = customer.where((F.col("c_custkey") % 5 == 0) & (F.col("c_custkey") <= 25)).select(
+    hop = F.col("c_custkey") == 0 if p["hop_step"] is None else F.col("c_custkey") % p["hop_step"] == 0
+    listed = F.col("c_custkey") % p["role_step"] == 0
+    if p["role_cap"] is not None:
+        listed = listed & (F.col("c_custkey") <= p["role_cap"])
+    people = customer.where(listed).select(
         wallet_address(F.col("c_custkey")).alias("address"),
         F.when(hop, C.ROLE_HOP).otherwise(C.ROLE_ATTACKER).alias("role"),
         F.when(hop, C.ROLE_PRIORITY[C.ROLE_HOP]).otherwise(C.ROLE_PRIORITY[C.ROLE_ATTACKER])
@@ -131,3 +140,33 @@ def load(spark: SparkSession, sf_dir: str, profile: str = "scale") -> Inputs:
                           F.lit(C.ROLE_PRIORITY[C.ROLE_VAULT]).cast("int").alias("priority")
                           ).unionByName(people)
     return Inputs(transfers, transactions, watchlist, vaults, roles)
+
+
+class Stored(NamedTuple):
+    """Paths of the inputs as an outside system might have stored them."""
+    transfers: str
+    transactions: str
+    watchlist: str
+    vaults: str
+    roles: str
+
+
+def mixed_case(c: str) -> Column:
+    """About half of the values in upper case."""
+    return F.when(F.crc32(F.col(c)) % 2 == 0, F.upper(F.col(c))).otherwise(F.col(c))
+
+
+def store(i: Inputs, folder: str) -> Stored:
+    """Writes the inputs with mixed-case keys and text amounts: Parquet tables,
+    a watch-list CSV with a header, a vault list in plain text."""
+    paths = Stored(*(f"{folder}/{n}" for n in ("transfers", "transactions", "watchlist.csv", "vaults.txt", "roles")))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    key = lambda c: mixed_case(c).alias(c)
+    i.transfers.select(key("tx_hash"), "block_time", key("from_address"), key("to_address"),
+                       text("amount"), text("amount_usd")).write.parquet(paths.transfers)
+    i.transactions.select(key("hash"), "block_time", key("from"), key("to")).write.parquet(paths.transactions)
+    (i.watchlist.select(F.lit("case, one").alias("Label"), mixed_case("address").alias("Address"))
+     .write.option("header", True).csv(paths.watchlist))
+    i.vaults.select(key("address")).write.text(paths.vaults)
+    i.roles.select(key("address"), "role").write.parquet(paths.roles)
+    return paths

@@ -22,21 +22,32 @@ ROLES_SCHEMA = T.StructType([
 ])
 
 
+def _named(df: DataFrame, column: str):
+    """The column of that name, in any case."""
+    found = [c for c in df.columns if c.strip().lower() == column.lower()]
+    if len(found) != 1:
+        raise ValueError(f"the list needs one column {column!r}; it has {df.columns}")
+    return F.col(f"`{found[0]}`")
+
+
 def address_relation(spark: SparkSession, source, column: str = "address") -> DataFrame:
     """A one-column ``address`` relation from a list, a DataFrame or a path.
 
-    Paths ending in ``.csv``/``.txt`` are read as text with one address per
-    line (or a CSV with an ``address`` header); other paths as Parquet.
+    ``.txt`` holds one address per line (a line with the column's name is a
+    heading); ``.csv`` has a header and the column
+    is found by its name (in any case); other paths are Parquet.  A table
+    without the column raises.
     """
     if isinstance(source, DataFrame):
-        df = source.select(F.col(column if column in source.columns else source.columns[0]).alias("address"))
+        df = source.select(_named(source, column).alias("address"))
     elif isinstance(source, str):
-        if source.endswith((".csv", ".txt")):
-            raw = spark.read.text(source).select(F.trim("value").alias("address"))
-            df = raw.where(F.col("address") != F.lit("address"))
+        if source.endswith(".txt"):
+            df = (spark.read.text(source).select(F.trim("value").alias("address"))
+                  .where(F.lower("address") != column.lower()))
         else:
-            pq = spark.read.parquet(source)
-            df = pq.select(F.col(column if column in pq.columns else pq.columns[0]).alias("address"))
+            raw = (spark.read.csv(source, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+                   if source.endswith(".csv") else spark.read.parquet(source))
+            df = raw.select(_named(raw, column).alias("address"))
     elif isinstance(source, Iterable):
         df = spark.createDataFrame([(a,) for a in source], _ADDR)
     else:

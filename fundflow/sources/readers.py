@@ -50,14 +50,21 @@ def normalize_transactions(df: DataFrame, lower_keys: bool = True) -> DataFrame:
     )
 
 
-def scan_transfers(spark: SparkSession, path: str, **kw) -> DataFrame:
-    """Transfer events (Parquet directory or file)."""
-    return normalize_transfers(spark.read.parquet(path).select(*S.TRANSFER_COLUMNS), **kw)
+def scan_transfers(spark: SparkSession, path: str, schema: T.StructType | None = None, **kw) -> DataFrame:
+    """Transfer events (Parquet directory or file).
+
+    ``schema`` gives the stored types (``schema.TRANSFERS``: all text) and
+    saves the footer inference; without it the stored types are read from
+    one footer, since amounts and times may be text, numbers or timestamps.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return normalize_transfers(reader.parquet(path).select(*S.TRANSFER_COLUMNS), **kw)
 
 
-def scan_transactions(spark: SparkSession, path: str, **kw) -> DataFrame:
-    """Transactions; only hash, block_time, from, to are read."""
-    return normalize_transactions(spark.read.parquet(path).select(*S.TRANSACTION_COLUMNS), **kw)
+def scan_transactions(spark: SparkSession, path: str, schema: T.StructType | None = None, **kw) -> DataFrame:
+    """Transactions; only hash, block_time, from, to are read (``schema`` as in S1)."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return normalize_transactions(reader.parquet(path).select(*S.TRANSACTION_COLUMNS), **kw)
 
 
 def scan_actions(spark: SparkSession, path: str) -> DataFrame:

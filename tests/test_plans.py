@@ -5,6 +5,7 @@ import __spark_entry__ as entry
 from conftest import SF001
 from fundflow.operators import actions as A
 from fundflow.operators.membership import Membership
+from fundflow.plans import catalog, jobs
 from fundflow.plans.catalog import Stages
 from fundflow.session import scratch_path
 from fundflow.sources import readers
@@ -29,7 +30,7 @@ def test_small_list_is_in_set_filter(spark):
     assert "LeftSemi" not in s
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(catalog.queries()))
 def test_no_cartesian_product(spark, key):
     s = plan(entry.queries()[key](spark, SF001))
     assert "CartesianProduct" not in s and "BroadcastNestedLoopJoin" not in s
@@ -122,7 +123,95 @@ def test_extraction_does_not_shuffle_transfers(spark):
     transactions = readers.scan_transactions(spark, path + "/x")
     n = transfers.count()
     for mode in ("inlist", "broadcast"):
-        df = A.actions(transfers, transactions, Membership(i.watchlist, mode=mode), p.vault)
+        df = A.actions(transfers, transactions, Membership(i.watchlist, mode=mode, inlist_max=300), p.vault)
         df.collect()
         shuffles = _exchanges(df._jdf.queryExecution().executedPlan(), [])
         assert all(rec < n for _, rec in shuffles), (mode, shuffles)
+
+
+def addresses(spark, n):
+    from fundflow.sources.fixtures import wallet_address
+    from pyspark.sql import functions as F
+    return spark.range(n).select(wallet_address(F.col("id")).alias("address"))
+
+
+def test_forced_in_list_never_cuts_a_list(spark):
+    """300 entries: a forced in-list raises, all other modes agree."""
+    t = Stages(spark, SF001).inputs.transfers
+    w = addresses(spark, 300)
+    with pytest.raises(ValueError):
+        Membership(w, mode="inlist")
+    counts = {m: A.mutual_transfers(t, Membership(w, mode=m)).count() for m in ("auto", "broadcast", "shuffle")}
+    counts["long in-list"] = A.mutual_transfers(t, Membership(w, mode="inlist", inlist_max=300)).count()
+    assert len(set(counts.values())) == 1 and counts["auto"] > 0, counts
+
+
+def test_job_path_pushes_the_lists_to_both_scans(spark, tmp_path):
+    p = Stages(spark, SF001)
+    stored = p.stored  # mixed-case keys
+    transfers, transactions = jobs.lowered_inputs(spark, stored.transfers, stored.transactions, str(tmp_path))
+    more = spark.createDataFrame([("0xf1",), ("0xf2",)], "address string")
+    w, v = Membership(addresses(spark, 30)), Membership(p.inputs.vaults.unionByName(more))
+    df = A.actions(transfers, transactions, w, v)
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    scans = [line for line in plan(df).splitlines() if "FileScan parquet" in line]
+    spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    assert len(scans) == 3 and all("In(" in s.split("PushedFilters:")[1] for s in scans), scans
+    assert df.count() == A.actions(p.inputs.transfers, p.inputs.transactions, w, v).count() > 0
+
+
+def test_shuffle_mode_drops_rows_before_the_exit_join(spark):
+    p = Stages(spark, SF001)
+    v = Membership(p.inputs.vaults, mode="shuffle")
+    df = A.exit_transfers(p.inputs.transfers, p.inputs.transactions, v)
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    inner = optimized.index("Join Inner, ((tx_hash") if "Join Inner, ((tx_hash" in optimized else 0
+    assert "LeftSemi" in optimized[inner:]
+
+
+def test_edge_roles_need_no_wallet_totals(spark):
+    s = plan(catalog.queries()["J4_edge_with_roles"](spark, SF001))
+    assert "sum(" not in s and "count(1)" not in s
+
+
+@pytest.mark.parametrize("key", ["W1_pair_sequence", "W2_global_sequence", "W3_running_totals", "W4_running_wallet_totals",
+                                 "W5_first_appearance", "W6_lane_index", "J2_watch_semi", "J4_edge_with_roles", "T1_snapshot"])
+def test_size_checks_gather_no_rows(spark, key, monkeypatch):
+    """Default path: every size check sends at most a row per task to one task."""
+    from fundflow import config as C
+    from fundflow.operators import sizing
+    from pyspark.sql import DataFrame
+    seen = []
+    count = DataFrame.count
+
+    def checked(df):
+        one = df.groupBy().count()
+        n = one.collect()[0][0]
+        seen.extend(r for part, r in _exchanges(one._jdf.queryExecution().executedPlan(), []) if part.startswith("SinglePartition"))
+        return n
+
+    monkeypatch.setattr(DataFrame, "count", checked)
+    assert sizing.rows_at_most and C.BROADCAST_MAX_ROWS
+    catalog.queries()[key](spark, SF001)
+    monkeypatch.setattr(DataFrame, "count", count)
+    assert all(r <= 64 for r in seen), seen
+
+
+def test_building_a_query_writes_nothing(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    calls = []
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: calls.append("checkpoint") or self)
+    monkeypatch.setattr("fundflow.plans.catalog.scratch_path", lambda *a: calls.append("path") or "unused")
+    for key in ("U1_actions", "A4_wallet_stats", "W1_pair_sequence", "T3_frames", "J4_edge_with_roles"):
+        catalog.queries()[key](spark, SF001)
+    assert not calls
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+    from fundflow.session import checkpoint_dir, is_local
+    assert is_local("local") and is_local("local[*]") and not is_local("yarn") and not is_local("local-cluster[1,1,512]")
+    sc = N(getCheckpointDir=lambda: None, master="yarn", getConf=lambda: N(get=lambda *a: None))
+    with pytest.raises(ValueError):
+        checkpoint_dir(N(sparkContext=sc, conf=N(get=lambda *a: None)))

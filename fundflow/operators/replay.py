@@ -402,16 +402,3 @@ def transfer_detail(tl: DataFrame, tx_hash) -> DataFrame:
     return (tl.where(F.col("hash") == key)
               .select("from", "to", F.col("amount").cast("double").alias("amount"),
                       X.amount_text("amount", C.ETH_DECIMALS).alias("amount_text"), "hash", "ts_ms"))
-
-
-def event_text(tl: DataFrame) -> DataFrame:
-    """X6-X8, X11, X13, F8 per event: pair key, weight, texts."""
-    return tl.select(
-        "hash", "from", "to", "ts_ms",
-        X.pair_key("from", "to").alias("pair_key"),
-        X.edge_weight("amount").alias("weight"),
-        X.labelled_amount("amount").alias("amount_label"),
-        X.amount_text("amount", C.ETH_DECIMALS).alias("amount_text"),
-        X.time_text("ts_ms").alias("time_text"),
-    )
-

@@ -1,4 +1,4 @@
-"""Round trips: S6 -> S7 and S8 -> S9 (both graph layouts)."""
+"""Round trips: S6 -> S7 and S8 -> S9 (the graph's two datasets)."""
 from conftest import SF001
 from fundflow.plans.catalog import Stages
 from fundflow.session import scratch_path

@@ -19,7 +19,7 @@ import numpy as np
 #: Runs longer than this many characters are encoded but not remembered.
 RUN_CHARS = 64
 #: Remembered runs per Python worker (about 150 bytes each).
-RUNS_KEPT = 500_000
+RUNS_KEPT = 800_000
 #: Parts runs within one library call; a run that holds it is encoded alone.
 MARK = "\x00"
 #: ASCII signs that end a run (no apostrophe: it starts contractions).
@@ -44,47 +44,69 @@ class Encoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.runs_kept = runs_kept
         mark = self.encode_whole(MARK)
-        self.mark = mark[0] if len(mark) == 1 else -1
+        self.marks = np.zeros(size, bool)
+        self.marks[mark] = len(mark) == 1
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, bool)
+        for token, i in self.lib.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         # letters and signs part, and case is dropped: checked on this file
         self.lower = all(self.encode_whole(a + b) == self.encode_whole(a.lower()) + self.encode_whole(b)
                          for a in ("The", "ONHA", "x") for b in [*SIGNS, SIGNS])
         self.runs: dict[str, bytes] = {"": b""}
 
-    def _library(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of each run from the library: many runs to a call, parted by a NUL."""
-        plain = [r for r in runs if MARK not in r]
+    def _library(self, runs: list[str], words: bool) -> dict[str, bytes]:
+        """Ids of each run from the library, many runs to a call.
+
+        ``words``: runs of letters, each one pre-token, whose ids end with
+        the one id of an end-of-word token; other runs are parted by a NUL.
+        """
         out, wide = {}, self.dtype.itemsize
-        for i in range(0, len(plain), 128):
-            part = plain[i:i + 128]
-            ids = np.array(self.lib.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, self.dtype)
-            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            if len(cuts) == len(part) + 1:
-                raw = ids.tobytes()
-                for run, lo, hi in zip(part, cuts, cuts[1:]):
-                    out[run] = raw[(lo + 1) * wide:hi * wide]
-        for run in runs:
-            if run not in out:
-                out[run] = np.array(self.encode_whole(run), self.dtype).tobytes()
+        last, join = (self.ends, " ") if words else (self.marks, f" {MARK} ")
+        plain = runs if words else [r for r in runs if MARK not in r]
+        for i in range(0, len(plain), 256):
+            part = plain[i:i + 256]
+            ids = np.array(self.lib.encode(join.join(part), add_special_tokens=False).ids, self.dtype)
+            cuts = (np.flatnonzero(last[ids]) * wide).tolist()
+            raw = ids.tobytes()
+            if words and len(cuts) == len(part):
+                at = 0
+                for run, cut in zip(part, cuts):
+                    out[run] = raw[at:cut + wide]
+                    at = cut + wide
+            elif not words and len(cuts) == len(part) - 1:
+                at = 0
+                for run, cut in zip(part, [*cuts, len(raw)]):
+                    out[run] = raw[at:cut]
+                    at = cut + wide
+        if len(out) < len(runs):
+            for run in runs:
+                if run not in out:
+                    out[run] = np.array(self.encode_whole(run), self.dtype).tobytes()
         return out
 
     def _learn(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of new runs.  ASCII letters followed by ASCII signs are two
+        """Ids of new runs.  Letters followed by ASCII signs are two
         pre-tokens and letters are lower-cased, so such a run is its
         lower-case letters' ids and its signs' ids."""
-        parts, need = {}, set()
+        parts, words, others, known = [], set(), [], self.runs
         for run in runs:
             core = run.rstrip(SIGNS)
-            if core and core.isascii() and core.isalpha() and self.lower:
-                parts[run] = pair = (core.lower(), run[len(core):])
-                need.update(pair)
+            if self.lower and core.isalpha() and (core.isascii() or core.islower() and max(core) < "\u0250"):
+                tail = run[len(core):]
+                core = core.lower()
+                parts.append((run, core, tail))
+                if core not in known:
+                    words.add(core)
+                if tail not in known:
+                    others.append(tail)
             else:
-                need.add(run)
-        known = self.runs
-        got = self._library([r for r in need if r not in known])
-        for run, (core, tail) in parts.items():
-            if run not in got:
-                got[run] = ((known[core] if core in known else got[core])
-                            + (known[tail] if tail in known else got[tail]))
+                others.append(run)
+        got = self._library(list(words), True)
+        got |= self._library(list(set(others)), False)
+        for run, core, tail in parts:
+            head = got[core] if core in got else known[core]
+            got[run] = head + (got[tail] if tail in got else known[tail]) if tail else head
         return got
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:

@@ -11,21 +11,43 @@ oracle SQL; tests hold every stage against a brute-force version.
 """
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fundflow.llm import tokens, toxicity
-from fundflow.llm.common import table, written
+from fundflow.llm.common import MADE, delete, table, written
 from fundflow.llm.near_dups import first_of_each
 from fundflow.llm.packing import pack
 from fundflow.llm.passages import without_repeats
 from fundflow.llm.quality import good_documents
 
 
+_DONE: list[str] = []
+
+
+def stage(function):
+    """A stage that deletes the tables its predecessor's operators wrote, once its own input no longer reads them."""
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [p.rsplit("/", 1)[-1] for p in _DONE]
+        if not any(n in f for f in docs.inputFiles() for n in names):
+            delete(spark, _DONE)
+            _DONE.clear()
+        before = len(MADE)
+        out = function(spark, docs, sf_dir)
+        _DONE.extend(MADE[before:])
+        return out
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or come from a rejected host go."""
     return good_documents(docs)
 
 
+@stage
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at the threshold or above go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -33,16 +55,19 @@ def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(scored["toxic_score"] < toxicity.THRESHOLD).drop("toxic_score")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     return first_of_each(docs)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated passages go from the texts; every document stays."""
     return without_repeats(docs)
 
 
+@stage
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     return pack(docs, tokens.tokenizer_path(), end_id=1, with_ids=False).drop("ids")
@@ -61,6 +86,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, step in STAGES:
+        docs = written(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from .common import made_path
 from .token_files import filesystem
 
 #: Stands for a null ``doc_id``: smaller than every other.
@@ -26,7 +26,7 @@ def block_of(row: str = "row") -> Column:
 
 def write_blocks(docs: DataFrame, keep: list[str] = ()) -> tuple[DataFrame, dict[int, str]]:
     """``(blocks, paths)``: ``row, id, text`` and a struct ``rest`` of the columns ``keep``; each block's file."""
-    path = scratch_path(docs.sparkSession, "blocks")
+    path = made_path(docs.sparkSession, "blocks")
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

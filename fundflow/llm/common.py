@@ -6,6 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 
 
+#: Paths of the tables that operators wrote, in order.
+MADE: list[str] = []
+
+
+def made_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, recorded so that a pipeline can delete it later."""
+    MADE.append(scratch_path(spark, name))
+    return MADE[-1]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that an operator wrote."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir`` (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     re-read and not a recomputation.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = made_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

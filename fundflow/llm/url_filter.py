@@ -1,7 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 Every rule names literal tokens (runs of a-z and 0-9) that any URL fitting
-it must hold as whole tokens.  The rule index maps each rule's rarest such
+it must hold as whole tokens; a rule without one has the empty token, which
+every URL holds.  The rule index maps each rule's rarest such
 token, by its count over all pages, to the rule.  The tokens of each URL
 fetch candidate rules by one join, and only the candidates' regular
 expressions run.  The longest fitting rule wins.
@@ -35,13 +36,14 @@ HOST_RULES = [
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 ]
-#: The method's own patterns over ``host + path`` (A-Z lower-cased) and their whole tokens.
+#: The method's own patterns over ``host + path`` (A-Z lower-cased) and the tokens that every fitting URL
+#: holds whole; a text with an optional or open end (``ads?``, ``php``) is no such token.
 PATTERN_RULES = [
-    (r"(?:\A|\.)ads?-[a-z]+\.", ["ads"]),
-    (r"(?:\A|\.)ads?[0-9]*\.", ["ads"]),
+    (r"(?:\A|\.)ads?-[a-z]+\.", []),
+    (r"(?:\A|\.)ads?[0-9]*\.", []),
     (r"(?:\A|\.)(?:[a-z0-9]+-)*tracker\.", ["tracker"]),
     (r"(?:\A|\.)doubleclick\.", ["doubleclick"]),
-    (r"/wp-login\.php", ["wp", "login", "php"]),
+    (r"/wp-login\.php", ["wp", "login"]),
     (r"/cgi-bin/", ["cgi", "bin"]),
     (r"[./-]casino[./-]", ["casino"]),
     (r"[./-]porn[./-]", ["porn"]),

@@ -1,6 +1,7 @@
 """Quality rules and URL filters against their SQL, on awkward rows."""
 import duckdb
 import pandas as pd
+import pytest
 from helpers import awkward, documents, with_clashes
 
 from fundflow.llm import quality as Q
@@ -68,6 +69,26 @@ def test_many_rules_are_joined(spark, monkeypatch):
     same(U.judge_urls(pages, U.rule_table(spark)), con, U.url_sql())
 
 
+#: URLs that fit a pattern without holding its literal text as a whole token.
+OPEN_ENDS = ["https://ad.example.net/", "https://ad-server.example.net/", "https://ads-server.example.net/", "https://ads2.example.net/",
+             "https://x.ad77.net/", "https://AD.x.net/a", "https://ads.x.net/", "http://a.net/wp-login.php5", "http://a.net/wp-login.php5/x?y",
+             "http://a.net/WP-Login.phpx", "http://my-tracker.net/", "http://x.doubleclick.net/", "http://a.net/cgi-bin/x", "http://a.net/casino/",
+             "http://a.net/porn.html", "http://add.net/", "http://a.net/xwp-login.php", "http://bads.net/"]
+
+
+@pytest.mark.parametrize("most", [U.MOST_RULES, 0])
+def test_patterns_with_open_ends(spark, monkeypatch, most):
+    monkeypatch.setattr(U, "MOST_RULES", most)
+    # each alone too, and the tokens wp and login in many URLs: the rarest token depends on the corpus
+    for urls in (OPEN_ENDS, OPEN_ENDS + ["http://wp.net/login"] * 30, *[[u] for u in OPEN_ENDS[:8:7]]):
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        con = duckdb.connect()
+        con.register("pages", pages.toPandas())
+        same(U.judge_urls(pages, U.rule_table(spark)), con, U.url_sql())
+        blocked = {r.page_id for r in U.judge_urls(pages, U.rule_table(spark)).where("verdict = 'block'").collect()}
+        assert {i for i, u in enumerate(urls) if u in OPEN_ENDS[:15]} == blocked
+
+
 def test_rarest_token_indexes_the_rule(spark):
     pages = spark.createDataFrame([(i, f"http://h{i}.example.org/es/") for i in range(5)] + [(9, "http://q.org/")], "page_id long, url string")
     host, path = U.url_parts(U.F.col("url"))

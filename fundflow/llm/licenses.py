@@ -18,8 +18,8 @@ weighs 0.95, a notice phrase 0.6 and a base phrase 0.5.
 
 Defined results: null text is the empty text (no words, score 0); repeated
 rows give one row each; an expression that doesn't parse gives the class
-``unknown`` and the identifiers in it; an empty table gives no rows; other
-columns are ignored.
+``unknown`` and every identifier in it whose class is known; an empty table
+gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -179,7 +179,7 @@ class Scanner:
             try:
                 found, value = evaluate(expression)
             except ValueError:
-                found, value = {f"spdx:{s}" for s in _SYMBOL.findall(expression)[:8]
+                found, value = {f"spdx:{s}" for s in _SYMBOL.findall(expression)
                                 if s not in OPERATORS and s not in "()" and class_of(s) is not None}, None
             labels |= found | {CLASS_NAMES[value]}
         return (len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1 - rest)

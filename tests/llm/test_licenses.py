@@ -58,3 +58,14 @@ def test_tag_labels():
     labels = L.Scanner().scan(TEXTS[4])[5].split(",")
     assert {"spdx:mit", "spdx:gpl-2.0-only", "with:classpath-exception-2.0", "permissive"} <= set(labels)
     assert "unknown" in L.Scanner().scan(TEXTS[5])[5].split(",")
+
+
+NAMES = [f"{s}-{k}.0" for s in ("mit", "bsd", "gpl", "mpl", "apache") for k in range(1, 5)]
+
+
+@pytest.mark.parametrize("expression", [", ".join(NAMES), " ".join(NAMES), "((" + " OR ".join(NAMES) + ") AND (isc OR zlib",
+                                        "( ( ( ( ( ( ( ( ( " + " AND ".join(NAMES)])
+def test_broken_expressions_keep_every_identifier(expression):
+    labels = L.Scanner().scan(f"SPDX-License-Identifier: {expression.upper()}\nMIT-9")[5].split(",")
+    want = {f"spdx:{n}" for n in NAMES} | ({"spdx:isc", "spdx:zlib"} if "isc" in expression else set())
+    assert set(labels) == want | {"unknown"}

@@ -52,8 +52,6 @@ MONEY_TYPE = "decimal(38,18)"
 # A membership list up to this many values becomes an IN-set literal; larger
 # lists are joined (an IN-set of thousands of literals costs seconds of planning).
 INLIST_MAX = 128
-# Most addresses that X1 takes as literals; longer lists are looked up.
-LITERALS_MAX = 10_000
 # A relation up to this many rows may be broadcast (checked before use).
 BROADCAST_MAX_ROWS = 1_000_000
 # An ordered window whose largest partition has at most this many rows runs

@@ -98,15 +98,22 @@ def block_time_text(ms) -> Column:
     return F.concat(F.date_format(ms_to_ntz(ms), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC"))
 
 
-# --- X1: role classification (literal sets; J3 is the relational form) -----
+# --- X1: role classification (literal sets or joined flags; J3 is the relational form) -----
 def classify(address, attackers=(), vaults=(), hops=()) -> Column:
-    """First match wins: attacker, then vault, then hop, else the default."""
+    """First match wins: attacker, then vault, then hop, else the default.
+
+    Each list is literal addresses, or a boolean column that says whether
+    the address is listed (for a list of any size, joined before).
+    """
     a = lower_key(address)
-    out = F.when(a.isin([x.lower() for x in attackers]), C.ROLE_ATTACKER) if attackers else None
-    for values, role in ((vaults, C.ROLE_VAULT), (hops, C.ROLE_HOP)):
-        if not values:
+    out = None
+    for values, role in ((attackers, C.ROLE_ATTACKER), (vaults, C.ROLE_VAULT), (hops, C.ROLE_HOP)):
+        if isinstance(values, Column):
+            cond = values
+        elif values:
+            cond = a.isin([x.lower() for x in values])
+        else:
             continue
-        cond = a.isin([x.lower() for x in values])
         out = F.when(cond, role) if out is None else out.when(cond, role)
     return F.lit(C.ROLE_DEFAULT) if out is None else out.otherwise(C.ROLE_DEFAULT)
 

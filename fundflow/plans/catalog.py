@@ -22,6 +22,7 @@ from ..operators import actions as A
 from ..operators import graph as G
 from ..operators import replay as R
 from ..operators.membership import Membership
+from ..operators.sizing import rows_at_most
 from ..session import scratch_path
 from ..sources import fixtures, lists, readers, sinks
 
@@ -119,16 +120,15 @@ def _written_actions(p: Stages) -> DataFrame:
 
 
 def _classified(p: Stages) -> DataFrame:
-    """X1 with its literal lists, taken from the role list (bounded by ``C.LITERALS_MAX``)."""
-    rows = lists.roles_from(p.inputs.roles)
-    n = rows.count()
-    if n > C.LITERALS_MAX:
-        raise ValueError(f"{n} listed wallets: look them up (J3) instead of classifying by literals")
-    by = {}
-    for r in rows.collect():
-        by.setdefault(r.role, []).append(r.address.upper())
-    return p.nodes.select("id", X.classify("id", by.get(C.ROLE_ATTACKER, ()), by.get(C.ROLE_VAULT, ()),
-                                           by.get(C.ROLE_HOP, ())).alias("role"))
+    """X1 with its three lists joined as flags, so a list of any size stays off the driver."""
+    roles = (C.ROLE_ATTACKER, C.ROLE_VAULT, C.ROLE_HOP)
+    flags = [f"_{r}" for r in roles]
+    listed = (lists.roles_from(p.inputs.roles).where(F.col("address").isNotNull()).groupBy("address")
+              .agg(*[F.max(F.col("role") == r).alias(f) for r, f in zip(roles, flags)]))
+    side = F.broadcast(listed) if rows_at_most(listed, C.BROADCAST_MAX_ROWS) else listed
+    wallets = G.distinct_wallets(p.actions).withColumnRenamed("address", "id")
+    return (wallets.join(side, X.lower_key("id") == side["address"], "left")
+            .select("id", X.classify("id", *map(F.col, flags)).alias("role")))
 
 
 def _time_forms(p: Stages) -> DataFrame:

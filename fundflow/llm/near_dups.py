@@ -275,9 +275,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[st
     """``(classes, paths)`` of ``docs(doc_id, text)``.
 
     Classes: ``row, doc_id, class_id`` (the smallest ``doc_id`` of the
-    class), ``class_size``, ``n_links`` (verified links of its text to other
-    texts), ``kept`` (one row of each class).  Paths: the files of the
-    blocks that hold the rows, with the columns ``keep``.
+    class), ``class_size``, ``kept`` (one row of each class).  A text's links
+    aren't counted: pairs inside a component are never compared.  Paths: the
+    files of the blocks that hold the rows, with the columns ``keep``.
     """
     blocks, paths = write_blocks(docs, keep)
     signed = written(blocks.select("row", "id", "text").mapInPandas(
@@ -314,7 +314,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[st
         links = links.unionByName(links_of(more, paths, threshold))
         found = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("text_row")).groupBy("text_row").agg(F.count(F.lit(1)).alias("n_links"))
     placed = members.join(found.withColumnRenamed("row", "text_row"), "text_row", "left").select(
         "row", "id", "text_row", F.coalesce("component", "text_row").alias("component"))
     totals = placed.groupBy("component").agg(F.min(F.struct("id", "row")).alias("least"), F.count(F.lit(1)).alias("class_size"))
@@ -322,9 +321,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[st
     def real(c):
         return F.when(F.col(c) != NULL_ID, F.col(c))
 
-    classes = placed.join(totals, "component").join(degree, "text_row", "left").select(
+    classes = placed.join(totals, "component").select(
         "row", real("id").alias("doc_id"), real("least.id").alias("class_id"), "class_size",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("row") == F.col("least.row")).alias("kept"))
+        (F.col("row") == F.col("least.row")).alias("kept"))
     return classes, paths
 
 

@@ -99,3 +99,15 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.row: r.component for r in N.components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_rows_do_not_depend_on_the_partitioning(spark):
+    """A group of mutual edits, in two deals: every column of the query says the same."""
+    rng = random.Random(8)
+    base = prose(rng, 300)
+    texts = [base] + [edited(rng, base, 4) for _ in range(20)] + [prose(rng, 80) for _ in range(5)]
+    ids = rng.sample(range(1000), len(texts))
+    docs = documents(spark, texts, ids)
+    first, second = (N.near_duplicates_query(spark, d) for d in (docs.coalesce(1).orderBy("doc_id"), docs.repartition(7).orderBy("text")))
+    assert first.columns == ["doc_id", "class_id", "class_size", "kept"]
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))

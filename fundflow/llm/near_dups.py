@@ -26,10 +26,11 @@ copies is expanded into pairs, and no link between two components of a
 bucket is lost.  Every link is verified on the whole texts.
 
 Round two is the only place where pairs of a bucket are formed; there a
-pair is verified only if two bits of each register agree often enough
-(``SKETCH_LEAST`` of the registers).  With BANDS bands of ROWS registers a
-pair of similarity 0.8 shares no band with a probability of 5e-8, and agrees
-less in the sketch with one of 1e-8.
+pair is verified only if two bits of each of SKETCHED registers agree often
+enough (``sketch_least``).  Bands, rows and this bound come from the
+threshold: a pair at the threshold shares no band with a probability of MISS
+at most, and agrees less in the sketch with one of MISS at most.  At 0.8
+these are BANDS bands of ROWS registers; a lower threshold takes more.
 
 Defined results: null or wordless texts are linked to equal texts only; a
 null ``doc_id`` is smaller than every other; repeated rows are copies; ties
@@ -38,6 +39,7 @@ no rows; other columns are ignored.
 """
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,13 +52,37 @@ from .blocks import NULL_ID, block_of, block_texts, by_block, select_rows, write
 from .common import written
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 4
-#: Registers whose two bits must agree before round two verifies a pair: similarity 0.8 gives 109 of 128 in
-#: the mean with a deviation of 4, unrelated texts 32.
-SKETCH_LEAST = 85
+#: Bands at least, registers of a band at most; the probability that a pair at the threshold shares no band,
+#: or agrees too little in the sketch; registers from which on bands get fewer rows.
+BANDS, ROWS, MISS, MANY_REGISTERS = 32, 4, 5e-8, 1024
+SKETCHED = 128
 SKETCH = [f"s{k}" for k in range(4)]
 #: Text bytes signed at once, remembered word hashes per Python worker.
 CHUNK_BYTES, WORDS_KEPT = 4_000_000, 500_000
+
+
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and rows for a threshold: the most rows (ROWS at most) that don't need too many registers."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"a threshold of {threshold} isn't above 0 and at most 1")
+    for rows in range(ROWS, 0, -1):
+        agree = threshold ** rows
+        bands = max(BANDS * ROWS // rows, 1 if agree == 1 else math.ceil(math.log(MISS) / math.log1p(-agree)))
+        if bands * rows <= MANY_REGISTERS:
+            break
+    return bands, rows
+
+
+def sketch_least(threshold: float) -> int:
+    """Registers of the sketch that must agree: similarity 0.8 gives 109 of 128 in the mean, unrelated texts 32."""
+    p = threshold + (1 - threshold) / 4
+    least, tail = 0, (1 - p) ** SKETCHED
+    while tail <= MISS and least < SKETCHED:
+        least += 1
+        tail += math.comb(SKETCHED, least) * p ** least * (1 - p) ** (SKETCHED - least)
+    return least
+
+
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -158,41 +184,43 @@ def agreement(a: str, b: str) -> Column:
     """Registers whose two bits agree."""
     differ = [F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}")).bitwiseOR(F.col(f"{a}{y}").bitwiseXOR(F.col(f"{b}{y}")))
               for x, y in (("s0", "s1"), ("s2", "s3"))]
-    return F.lit(BANDS * ROWS) - F.bit_count(differ[0]) - F.bit_count(differ[1])
+    return F.lit(SKETCHED) - F.bit_count(differ[0]) - F.bit_count(differ[1])
 
 
-def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``row, id, one, two`` (the text's hash), the band keys and the sketch; a text's copies in a task come without keys."""
-    import xxhash
-    seen: set[tuple[int, int]] = set()
-    for pdf in parts:
-        texts = pdf["text"].tolist()
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        two = [xxhash.xxh3_128_intdigest(r) for r in raw]
-        hashes = [((h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)) for h in two]
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(raw[j]) <= CHUNK_BYTES):
-                size += len(raw[j])
-                j += 1
-            fresh = []
-            for k in range(i, j):
-                if hashes[k] not in seen:
-                    seen.add(hashes[k])
-                    fresh.append(k)
-            keys: list = [None] * (j - i)
-            sketch = np.zeros((4, j - i), np.int64)
-            if fresh:
-                text, value, count = shingle_counts([texts[k] for k in fresh])
-                signatures = bag_minhash(text, value, count, len(fresh), BANDS * ROWS)
-                for k, bands, some in zip(fresh, band_keys(signatures), np.isfinite(signatures[:, 0])):
-                    keys[k - i] = bands if some else np.zeros(0, np.int64)
-                sketch[:, np.array(fresh) - i] = sketches(signatures)
-            yield pd.DataFrame({"row": pdf["row"].iloc[i:j].array, "id": pdf["id"].iloc[i:j].array,
-                                "one": [hashes[k][0] for k in range(i, j)], "two": [hashes[k][1] for k in range(i, j)],
-                                "bands": keys} | dict(zip(SKETCH, sketch)))
-            i = j
+def sign(bands: int, rows: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """``row, id, one, two`` (the text's hash), the band keys and the sketch; a text's copies in a task come without keys."""
+        import xxhash
+        seen: set[tuple[int, int]] = set()
+        for pdf in parts:
+            texts = pdf["text"].tolist()
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            two = [xxhash.xxh3_128_intdigest(r) for r in raw]
+            hashes = [((h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)) for h in two]
+            i = 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and (j == i or size + len(raw[j]) <= CHUNK_BYTES):
+                    size += len(raw[j])
+                    j += 1
+                fresh = []
+                for k in range(i, j):
+                    if hashes[k] not in seen:
+                        seen.add(hashes[k])
+                        fresh.append(k)
+                keys: list = [None] * (j - i)
+                sketch = np.zeros((4, j - i), np.int64)
+                if fresh:
+                    text, value, count = shingle_counts([texts[k] for k in fresh])
+                    signatures = bag_minhash(text, value, count, len(fresh), bands * rows)
+                    for k, own, some in zip(fresh, band_keys(signatures, bands, rows), np.isfinite(signatures[:, 0])):
+                        keys[k - i] = own if some else np.zeros(0, np.int64)
+                    sketch[:, np.array(fresh) - i] = sketches(signatures)
+                yield pd.DataFrame({"row": pdf["row"].iloc[i:j].array, "id": pdf["id"].iloc[i:j].array,
+                                    "one": [hashes[k][0] for k in range(i, j)], "two": [hashes[k][1] for k in range(i, j)],
+                                    "bands": keys} | dict(zip(SKETCH, sketch)))
+                i = j
+    return run
 
 
 def shingles(text: str) -> Counter:
@@ -281,7 +309,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[st
     """
     blocks, paths = write_blocks(docs, keep)
     signed = written(blocks.select("row", "id", "text").mapInPandas(
-        sign, "row long, id long, one long, two long, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "signatures")
+        sign(*banding(threshold)), "row long, id long, one long, two long, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "signatures")
     # equal texts: their first row that has keys stands for them
     same = signed.groupBy("one", "two").agg(F.min(F.when(F.col("bands").isNotNull(), F.col("row"))).alias("text_row"))
     members = written(signed.select("row", "id", "one", "two").join(same, ["one", "two"]).select("row", "id", "text_row"), "members")
@@ -307,7 +335,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[st
     small = small.withColumnRenamed("bucket", "of")
     met = small.join(mixed, (F.col("of") == F.col("bucket")) & (F.col("component") != F.col("own"))
                      & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("row")))
-                     & (agreement("", "x") >= SKETCH_LEAST))
+                     & (agreement("", "x") >= sketch_least(threshold)))
     more = met.select(F.greatest("x", "row").alias("a"), F.least("x", "row").alias("b")).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():

@@ -111,3 +111,23 @@ def test_rows_do_not_depend_on_the_partitioning(spark):
     first, second = (N.near_duplicates_query(spark, d) for d in (docs.coalesce(1).orderBy("doc_id"), docs.repartition(7).orderBy("text")))
     assert first.columns == ["doc_id", "class_id", "class_size", "kept"]
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
+
+
+def test_bands_and_sketch_follow_the_threshold():
+    assert N.banding(0.8) == (32, 4) and N.sketch_least(0.8) == 85
+    for t in (0.05, 0.2, 0.5, 0.7, 0.8, 0.95, 1.0):
+        bands, rows = N.banding(t)
+        assert (1 - t ** rows) ** bands <= N.MISS and bands * rows >= N.SKETCHED
+    assert N.sketch_least(0.5) < 80  # the mean agreement at 0.5
+
+
+def test_a_lower_threshold_loses_no_pair(spark):
+    rng = random.Random(12)
+    texts = []
+    while len(texts) < 160:
+        a = prose(rng, 80)
+        b = edited(rng, a, 6)
+        if 0.5 <= N.similarity(N.shingles(a), N.shingles(b)) < 0.56:
+            texts += [a, b]
+    rows = N.near_duplicates(documents(spark, texts).repartition(4), 0.5)[0].collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i - i % 2 for i in range(len(texts))}

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SF001
+from paths import SF001
 from fundflow import config as C
 from fundflow import functions as X
 from fundflow.plans import catalog

@@ -1,7 +1,7 @@
 """The batch jobs end to end on Parquet inputs (reference-profile lists)."""
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from fundflow.plans import jobs
 from fundflow.session import scratch_path
 from fundflow.sources import fixtures

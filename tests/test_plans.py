@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF001
+from paths import SF001
 from fundflow.operators import actions as A
 from fundflow.operators.membership import Membership
 from fundflow.plans import catalog, jobs

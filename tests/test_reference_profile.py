@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 from fundflow.operators import actions as A
 from fundflow.operators import graph as G
 from fundflow.operators import replay as R

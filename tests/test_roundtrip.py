@@ -1,5 +1,5 @@
 """Round trips: S6 -> S7 and S8 -> S9 (the graph's two datasets)."""
-from conftest import SF001
+from paths import SF001
 from fundflow.plans.catalog import Stages
 from fundflow.session import scratch_path
 from fundflow.sources import readers, sinks

@@ -8,7 +8,7 @@ SQL oracle.
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF001
+from paths import SF001
 from fundflow import config as C
 from oracle_compare import compare, duck
 

@@ -44,7 +44,7 @@ def test_global_running_agrees(spark):
 
 
 def test_replay_windows_agree_on_driver_data(spark):
-    from conftest import SF001
+    from paths import SF001
     from fundflow.plans.catalog import Stages
     p = Stages(spark, SF001)
     tl = p.timeline.cache()

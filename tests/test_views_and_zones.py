@@ -1,5 +1,5 @@
 """SQL over registered views; results independent of the session time zone."""
-from conftest import SF001
+from paths import SF001
 from fundflow.plans.catalog import Stages, queries
 from fundflow.plans.views import register_views
 

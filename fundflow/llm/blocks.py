@@ -31,12 +31,16 @@ def write_blocks(docs: DataFrame, keep: list[str] = ()) -> tuple[DataFrame, dict
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest")] if keep else []))
-    numbered.write.option("compression", "zstd").parquet(path)
+    # one file per task, whatever the session's own limit of rows per file says
+    numbered.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
     blocks = docs.sparkSession.read.schema(numbered.schema).parquet(path)
     # one row per file
     found = (blocks.groupBy(block_of().alias("block"), F.col("_metadata.file_path").alias("path"))
              .agg(F.count(F.lit(1))).collect())
-    return blocks, {r.block: r.path for r in found}
+    paths = {r.block: r.path for r in found}
+    if len(paths) != len(found):
+        raise RuntimeError(f"a block of {path} has several files")
+    return blocks, paths
 
 
 def groups(parts: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:

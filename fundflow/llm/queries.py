@@ -16,6 +16,7 @@ from .simhash import simhash_query
 from .token_files import token_files_query
 from .toxicity import toxicity_query
 from .url_filter import url_query, url_sql
+from .whitening import whitening_query
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +59,15 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every valid row of ``embeddings``."""
+    return whitening_query(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_bpe_automaton, op4_license_scan,
                                    op5_url_filter, op6_packing, op7_simhash, op8_passages, op9_toxicity,
-                                   op10_near_duplicates)}
+                                   op10_near_duplicates, op11_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from .packing import packing_query
 from .passages import passages_query
 from .quality import quality_query, quality_sql
 from .simhash import simhash_query
+from .spelling import spelling_query
 from .token_files import token_files_query
 from .toxicity import toxicity_query
 from .url_filter import url_query, url_sql
@@ -64,10 +65,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_query(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of ``documents``."""
+    return spelling_query(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_bpe_automaton, op4_license_scan,
                                    op5_url_filter, op6_packing, op7_simhash, op8_passages, op9_toxicity,
-                                   op10_near_duplicates, op11_whitening)}
+                                   op10_near_duplicates, op11_whitening, op12_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import bpe_query
 from .common import table
 from .licenses import license_query
+from .line_crf import line_quality_query
 from .near_dups import near_duplicates_query
 from .packing import packing_query
 from .passages import passages_query
@@ -70,10 +71,15 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every row of ``documents``."""
+    return line_quality_query(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_bpe_automaton, op4_license_scan,
                                    op5_url_filter, op6_packing, op7_simhash, op8_passages, op9_toxicity,
-                                   op10_near_duplicates, op11_whitening, op12_spelling)}
+                                   op10_near_duplicates, op11_whitening, op12_spelling, op13_line_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

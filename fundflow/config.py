@@ -35,7 +35,6 @@ MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
               "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 SETTLE_MS = 36_000_000          # a transfer takes 10 h from start to arrival
-FRAMES_MAX = 100_000            # a finer grid is not built (its rows are broadcast)
 FRAME_COUNT = 1000              # replay grid has FRAME_COUNT + 1 positions
 SHORT_HEAD, SHORT_TAIL, SHORT_SEP = 6, 4, "....."
 TAG_HEAD, TAG_SUFFIX = 8, "…"
@@ -52,11 +51,18 @@ MONEY_TYPE = "decimal(38,18)"
 # A membership list up to this many values becomes an IN-set literal; larger
 # lists are joined (an IN-set of thousands of literals costs seconds of planning).
 INLIST_MAX = 128
-# A relation up to this many rows may be broadcast (checked before use).
+# A relation up to this many rows and bytes may be broadcast (both checked before use).
 BROADCAST_MAX_ROWS = 1_000_000
-# An ordered window whose largest partition has at most this many rows runs
-# as a plain window; larger ones use range partitioning + offsets.
+BROADCAST_MAX_BYTES = 128 << 20
+# An ordered window over at most this many rows runs as a plain window;
+# larger ones use buckets + offsets.
 LOCAL_WINDOW_MAX_ROWS = 1_000_000
-# Target rows per range partition in the ranged strategy (a few hundred MB
-# of event rows), so partitions fit in executor memory at any input size.
+# Target rows per bucket in the ranged strategy (a few hundred MB of event
+# rows), so buckets fit in executor memory at any input size.
 RANGED_ROWS_PER_PARTITION = 2_000_000
+# Sampled rows per bucket that the splitters are taken from (they reach the driver).
+SPLITTER_SAMPLES = 32
+# Positions of the replay grid whose prefix sums run in one task.
+GRID_BLOCK = 100_000
+# Equal rows are written out again in pieces of at most this many.
+REPEATS_PER_PIECE = 65_536

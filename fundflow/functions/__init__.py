@@ -82,9 +82,10 @@ def parse_block_time(c, data_type: T.DataType | None = None) -> Column:
     clock = F.concat(part(1), F.lit(" "), F.coalesce(F.nullif(part(2), F.lit("")), F.lit("00:00")),
                      F.coalesce(F.nullif(part(3), F.lit("")), F.lit(":00")), F.lit("."),
                      F.rpad(part(4), 3, "0"), F.regexp_replace(zone, r"^([+-]\d\d)(\d\d)$", "$1:$2"))
-    return F.unix_millis(F.when(text.rlike(_TIME_TEXT),
-                                F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm:ss.SSSXXX")))
-                         .otherwise(F.try_to_timestamp(text, F.lit(C.BLOCK_TIME_PATTERN))))  # named zones
+    # the canonical form (and named zones) by one parse; only other texts go through the patterns
+    return F.unix_millis(F.coalesce(
+        F.try_to_timestamp(text, F.lit(C.BLOCK_TIME_PATTERN)),
+        F.when(text.rlike(_TIME_TEXT), F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm:ss.SSSXXX")))))
 
 
 def ms_to_ntz(ms) -> Column:

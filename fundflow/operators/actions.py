@@ -11,6 +11,8 @@ scan by the lists (``In`` filters reach Parquet while a list is short and
 the keys are stored lower-case; semi-joins otherwise), so rows drop before
 any exchange and only vault candidates enter the exit join.
 
+Lists too long to broadcast filter their scan by a Bloom filter first.
+
 ``plan="single_scan"`` reads the transfer table once, flags every row and
 left-joins pre-aggregated vault calls.  It gives the same bag; it pays when
 the scan costs more than carrying mutual rows through the join.
@@ -37,8 +39,7 @@ def with_label(df: DataFrame, label: str) -> DataFrame:
 def mutual_transfers(transfers: DataFrame, watchlist) -> DataFrame:
     """F1 (+P1, P2): transfers with both ends on the watch-list."""
     w = _membership(watchlist)
-    kept = w.semi(w.semi(transfers, "from_address"), "to_address")
-    return with_label(kept, C.LABEL_MUTUAL)
+    return with_label(w.semi(transfers, "from_address", "to_address"), C.LABEL_MUTUAL)
 
 
 def vault_calls(transactions: DataFrame, vaults) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from .. import functions as X
-from .sizing import rows_at_most
+from .sizing import checked_broadcast
 
 SEND, RECEIVE = "send", "receive"
 
@@ -104,7 +104,7 @@ def resolve_roles(roles: DataFrame) -> DataFrame:
 
 def _roles_side(roles: DataFrame) -> DataFrame:
     resolved = resolve_roles(roles)
-    return F.broadcast(resolved) if rows_at_most(resolved, C.BROADCAST_MAX_ROWS) else resolved
+    return checked_broadcast(resolved)
 
 
 def role_lookup(wallets: DataFrame, roles: DataFrame, address: str = "address") -> DataFrame:
@@ -175,7 +175,7 @@ def special_roles(nodes_df: DataFrame) -> DataFrame:
     if "priority" in nodes_df.columns:
         return _roles_side(nodes_df)
     r = nodes_df.where(F.col("role") != C.ROLE_DEFAULT).select(F.col("id").alias("address"), "role")
-    return F.broadcast(r) if rows_at_most(r, C.BROADCAST_MAX_ROWS) else r
+    return checked_broadcast(r)
 
 
 def with_roles(df: DataFrame, nodes_df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 * up to ``INLIST_MAX`` values: an IN-set literal, so the test is pushed into
   the Parquet scan (``PushedFilters: In``) and needs no join;
-* up to ``BROADCAST_MAX_ROWS`` rows: a broadcast hash join (semi or flag);
-* beyond: a shuffled join, picked by Catalyst/AQE.
+* up to ``BROADCAST_MAX_ROWS`` rows and ``BROADCAST_MAX_BYTES`` bytes: a
+  broadcast hash join (semi or flag);
+* beyond: a shuffled join, picked by Catalyst/AQE.  A Bloom filter of the
+  list (``operators.bloom``) drops most non-members in the scan's stage, so
+  they never reach the exchange.
 
-An in-list forced on a longer list raises instead of cutting it.  The size
-check is a count (one row per task).
+A strategy forced on a longer list raises instead of cutting the list or
+broadcasting it.  The size check is one aggregate (a row per task).
 """
 from __future__ import annotations
 
@@ -14,31 +17,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .sizing import rows_at_most
+from .bloom import Bloom
+from .sizing import Size, size_of
 
 
 class Membership:
     def __init__(self, relation: DataFrame, column: str = "address",
                  inlist_max: int | None = None, broadcast_max: int | None = None,
                  mode: str = "auto"):
+        if mode not in ("auto", "inlist", "broadcast", "shuffle"):
+            raise ValueError(f"unknown mode {mode!r}")
         inlist_max = C.INLIST_MAX if inlist_max is None else inlist_max
-        broadcast_max = C.BROADCAST_MAX_ROWS if broadcast_max is None else broadcast_max
         self.relation = relation.select(F.lower(F.col(column)).alias("address")).where(
             F.col("address").isNotNull())
         self.values: list[str] | None = None
-        if mode in ("auto", "inlist"):
-            n = self.relation.count()
-            if mode == "inlist" and n > inlist_max:
-                raise ValueError(f"the list has more than {inlist_max} values; use mode 'broadcast', "
-                                 "'shuffle' or 'auto'")
-            if n <= inlist_max:
-                self.values = sorted({r[0] for r in self.relation.collect()})
-                self.mode = "inlist"
-                return
+        size: Size = size_of(self.relation)
+        small = size.rows <= broadcast_max and size.bytes <= C.BROADCAST_MAX_BYTES if broadcast_max is not None else size.broadcastable
+        if mode == "inlist" and size.rows > inlist_max:
+            raise ValueError(f"the list has more than {inlist_max} values; use mode 'broadcast', "
+                             "'shuffle' or 'auto'")
+        if mode == "broadcast" and not small:
+            raise ValueError(f"a list of {size.rows} rows and {size.bytes} bytes is too large to broadcast; "
+                             "use mode 'shuffle' or 'auto'")
         if mode == "auto":
-            mode = "broadcast" if rows_at_most(self.relation, broadcast_max) else "shuffle"
+            mode = "inlist" if size.rows <= inlist_max else "broadcast" if small else "shuffle"
         self.mode = mode
+        if mode == "inlist":
+            self.values = sorted({r[0] for r in self.relation.collect()})  # at most inlist_max rows
+            return
         self.relation = self.relation.dropDuplicates(["address"])
+        self.bloom = Bloom(self.relation, "address", size.rows) if mode == "shuffle" else None
 
     # -- column form (IN-set only) -------------------------------------------
     @property
@@ -58,12 +66,17 @@ class Membership:
         return F.broadcast(side) if self.mode == "broadcast" else side
 
     # -- relational forms ----------------------------------------------------
-    def semi(self, df: DataFrame, col: str) -> DataFrame:
-        """Rows of ``df`` whose ``col`` is in the list."""
-        if self.is_inlist:
-            return df.where(self.test(col))
-        side = self._side()
-        return df.join(side, F.col(col) == side["_m_key"], "left_semi")
+    def semi(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Rows of ``df`` whose ``columns`` are all in the list."""
+        if self.mode == "shuffle":
+            df = self.bloom.keep(df, *columns)  # all columns before the first exchange
+        for col in columns:
+            if self.is_inlist:
+                df = df.where(self.test(col))
+                continue
+            side = self._side()
+            df = df.join(side, F.col(col) == side["_m_key"], "left_semi")
+        return df
 
     def flag(self, df: DataFrame, col: str, name: str) -> DataFrame:
         """``df`` plus a boolean column ``name`` = (``col`` in the list)."""

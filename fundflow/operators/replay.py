@@ -10,8 +10,8 @@ state.  Here every piece of that state is a declarative query:
   (``operators.sequence.running``);
 * state *on the 1001-position slider grid* never crosses events with grid
   points: each event gets its first grid position by integer arithmetic,
-  events are grouped by that position (at most 1001 groups, with partial
-  aggregation) and a cumulative sum runs over the 1001 grid rows.
+  events are grouped by that position (with partial aggregation) and prefix
+  sums run over the grid rows, in blocks with carried offsets.
 
 A time ``T`` can be given as epoch ms (number or Column) or as a slider
 position ``position`` (0..n); positions use the exact integer rule
@@ -21,12 +21,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from .. import functions as X
 from .. import schema as S
 from .graph import with_roles
-from .sequence import running
+from .sequence import plus, running
+from .sizing import checked_broadcast
 
 SEND_RANK, RECEIVE_RANK = 0, 1   # the sender is created before the receiver
 
@@ -151,6 +153,11 @@ def _totals(tl: DataFrame, nodes_df: DataFrame) -> DataFrame:
     agg = tl.agg(F.count(F.lit(1)).alias("transfers"),
                  F.coalesce(F.sum("amount"), F.lit(0).cast(C.MONEY_TYPE)).alias("_eth"),
                  F.coalesce(F.sum(_laundered()), F.lit(0).cast(C.MONEY_TYPE)).alias("_laundered"))
+    return totals_columns(agg, n_wallets)
+
+
+def totals_columns(agg: DataFrame, n_wallets: Column) -> DataFrame:
+    """The columns of A9 and T2 from ``transfers, _eth, _laundered`` and a wallet count."""
     return agg.select(
         n_wallets.cast("bigint").alias("wallets"), "transfers",
         F.col("_eth").cast("double").alias("eth"),
@@ -184,21 +191,21 @@ def pair_counts(tl: DataFrame) -> DataFrame:
 def pair_sequence(tl: DataFrame, strategy: str = "auto") -> DataFrame:
     """N-th transfer of its unordered pair (1-based) and its curvature."""
     keyed = tl.select("*", X.pair_key("from", "to").alias("pair_key"))
-    out = running(keyed, event_order(), ["pair_key"], seq="pair_seq", strategy=strategy)
+    out = running(keyed, S.EVENT_ORDER, ["pair_key"], seq="pair_seq", strategy=strategy)
     return out.withColumn("curvature", X.pair_curvature("pair_seq"))
 
 
 # --- W2, W3 ---------------------------------------------------------------------
 def global_sequence(tl: DataFrame, strategy: str = "auto") -> DataFrame:
     """0-based position in time order and its curvature."""
-    out = running(tl, event_order(), seq="_seq", strategy=strategy)
+    out = running(tl, S.EVENT_ORDER, seq="_seq", strategy=strategy)
     return (out.withColumn("idx", (F.col("_seq") - 1).cast("bigint")).drop("_seq")
                .withColumn("curvature", X.global_curvature("idx")))
 
 
 def running_totals(tl: DataFrame, strategy: str = "auto") -> DataFrame:
     """Tx number, cumulative ETH and cumulative laundered ETH after each event."""
-    out = running(tl, event_order(), seq="tx_number",
+    out = running(tl, S.EVENT_ORDER, seq="tx_number",
                   sums={"_cum_eth": F.col("amount"), "_cum_laundered": _laundered()},
                   strategy=strategy)
     return (out.withColumn("cum_eth", F.col("_cum_eth").cast("double"))
@@ -219,7 +226,7 @@ def running_wallet_totals(tl: DataFrame, strategy: str = "auto") -> DataFrame:
     e = event_endpoints(tl).where(F.col("address").isNotNull())
     sent = F.col("side_rank") == SEND_RANK
     zero = F.lit(0).cast(C.MONEY_TYPE)
-    out = running(e, event_order() + [F.col("side_rank")], ["address"], seq="txns",
+    out = running(e, [*S.EVENT_ORDER, "side_rank"], ["address"], seq="txns",
                   sums={"_sent": F.when(sent, F.col("amount")).otherwise(zero),
                         "_received": F.when(~sent, F.col("amount")).otherwise(zero)},
                   strategy=strategy)
@@ -229,34 +236,56 @@ def running_wallet_totals(tl: DataFrame, strategy: str = "auto") -> DataFrame:
 
 
 # --- W5, W6 -----------------------------------------------------------------------
-def _first_seen(tl: DataFrame) -> DataFrame:
-    """Per wallet, the smallest (event order, side) it appears at."""
-    e = event_endpoints(tl).where(F.col("address").isNotNull())
-    key = F.struct(*[F.col(c) for c in S.EVENT_ORDER], F.col("side_rank"))
-    return e.groupBy("address").agg(F.min(key).alias("_first"))
+SIGHTING = [*S.EVENT_ORDER, "side_rank"]       # what orders first sightings
+
+
+def leading_order() -> Column:
+    """The leading part of the event order as one 64-bit number: its time, nulls last.
+
+    Fixed width, so a ``min`` of it runs as a hash aggregate; it never
+    contradicts the full order, and rows that agree in it are of one time.
+    """
+    return F.coalesce(F.col("ts_ms"), F.lit((1 << 63) - 1))
 
 
-def first_appearance(tl: DataFrame, strategy: str = "auto") -> DataFrame:
+def _first_seen(tl: DataFrame, form: str = "packed") -> DataFrame:
+    """Per wallet, the first (event order, side) it appears at: ``address`` and the SIGHTING columns.
+
+    ``packed``: the least leading key per wallet by a hash aggregate, then the
+    exact order among the rows that hold it (each task keeps one row per
+    wallet before the exchange).  ``struct``: one ``min`` of a struct, which
+    Spark sorts both sides of every event for.
+    """
+    e = event_endpoints(tl).where(F.col("address").isNotNull())
+    if form == "struct":
+        key = F.struct(*[x for c in SIGHTING for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+        return e.groupBy("address").agg(F.min(key).alias("f")).select("address", *[F.col(f"f.{c}") for c in SIGHTING])
+    if form != "packed":
+        raise ValueError(f"unknown form {form!r}")
+    least = e.groupBy(F.col("address").alias("_a")).agg(F.min(leading_order()).alias("_least"))
+    rows = e.join(least, (F.col("address") == F.col("_a")) & (leading_order() == F.col("_least")))
+    w = Window.partitionBy("address").orderBy(*[F.col(c).asc_nulls_last() for c in SIGHTING])
+    return (rows.select("address", *SIGHTING, F.row_number().over(w).alias("_n")).where(F.col("_n") == 1)
+            .select("address", *SIGHTING))
+
+
+def first_appearance(tl: DataFrame, strategy: str = "auto", form: str = "packed") -> DataFrame:
     """Wallets in first-seen order: ``address, first_ts_ms, first_side, appearance``."""
-    firsts = _first_seen(tl)
-    out = running(firsts, [F.col("_first")], seq="_seq", strategy=strategy)
-    return out.select("address", F.col("_first.ts_ms").alias("first_ts_ms"),
-                      F.when(F.col("_first.side_rank") == SEND_RANK, "send").otherwise("receive")
-                       .alias("first_side"),
+    out = running(_first_seen(tl, form), SIGHTING, seq="_seq", strategy=strategy)
+    return out.select("address", F.col("ts_ms").alias("first_ts_ms"),
+                      F.when(F.col("side_rank") == SEND_RANK, "send").otherwise("receive").alias("first_side"),
                       (F.col("_seq") - 1).cast("bigint").alias("appearance"))
 
 
-def lane_index(tl: DataFrame, nodes_df: DataFrame, strategy: str = "auto") -> DataFrame:
+def lane_index(tl: DataFrame, nodes_df: DataFrame, strategy: str = "auto", form: str = "packed") -> DataFrame:
     """0-based order of each wallet inside its role lane.
 
     Wallets enter lanes in first-seen order; attackers are created before
     any event, so they form their lane up front (also ordered by first
     sighting); wallets never seen on the timeline come last, by address.
     """
-    firsts = _first_seen(tl)
-    w = nodes_df.select(F.col("id").alias("address"), "role").join(firsts, "address", "left")
-    out = running(w, [F.col("_first").asc_nulls_last(), F.col("address")], ["role"], seq="_seq",
-                  strategy=strategy)
+    w = nodes_df.select(F.col("id").alias("address"), "role").join(_first_seen(tl, form), "address", "left")
+    out = running(w, [*SIGHTING, "address"], ["role"], seq="_seq", strategy=strategy)
     return out.select("address", "role", (F.col("_seq") - 1).cast("bigint").alias("lane"))
 
 
@@ -293,58 +322,59 @@ def frames(tl: DataFrame, nodes_df: DataFrame, n: int = C.FRAME_COUNT, clock: Cl
     visible (seen by then, plus all attackers from position 0) and transfers
     in flight (started, not yet 10 h old).
 
-    Two aggregations over the events, each keyed by grid position (at most
-    n + 1 groups, partial aggregation first): one over event rows (start and
-    settle markers from one ``explode``), one over first sightings of
-    wallets.  A cumulative window then runs over the n + 1 grid rows only.
+    Events become marks at the position that first reaches them (start and
+    settle marks from one ``explode``), wallets a mark at their first
+    sighting; marks and the empty grid are summed per position by one
+    aggregation.  Prefix sums run in blocks of ``GRID_BLOCK`` positions, each
+    a task of its own, and take the totals of the earlier blocks as offsets
+    (a row per block), so a grid of any size is spread over the tasks.
     """
-    if n > C.FRAMES_MAX:  # the grid and its totals are broadcast and windowed in one task
-        raise ValueError(f"at most {C.FRAMES_MAX} frames")
+    if n < 1:
+        raise ValueError("a grid has at least one step")
     spark = tl.sparkSession
     clock = clock or Clock(tl)
     zero = F.lit(0).cast(C.MONEY_TYPE)
     ev = tl.select(
-        ((F.col("ts_ms") - clock.start) * F.lit(n)).alias("_rel"),
-        ((F.col("ts_ms") + F.lit(C.SETTLE_MS) - clock.start) * F.lit(n)).alias("_rel_settle"),
+        ((F.col("ts_ms") - clock.start) * F.lit(n).cast("bigint")).alias("_rel"),
+        ((F.col("ts_ms") + F.lit(C.SETTLE_MS) - clock.start) * F.lit(n).cast("bigint")).alias("_rel_settle"),
         clock.span.alias("_span"), "amount", "label", "from", "to")
     ev = ev.select(_ceil_div("_rel", "_span").alias("frame"),
                    _ceil_div("_rel_settle", "_span").alias("settle"),
                    "amount", "label", "from", "to")
 
-    marker = lambda frame, started, amount, laundered, settled: F.struct(
-        frame.alias("frame"), F.lit(started).alias("started"), amount.alias("amount"),
-        laundered.alias("laundered"), F.lit(settled).alias("settled"))
-    marks = ev.select(F.explode(F.array(
-        marker(F.col("frame"), 1, F.col("amount"), _laundered(), 0),
-        marker(F.col("settle"), 0, zero, zero, 1))).alias("m")).select("m.*")
-    per_frame = (marks.where(F.col("frame") <= n).groupBy("frame").agg(
-        F.sum("started").alias("_events"), F.sum("amount").alias("_eth"),
-        F.sum("laundered").alias("_laundered"), F.sum("settled").alias("_settled")))
+    def mark(frame, started=0, amount=zero, laundered=zero, settled=0, wallets=0):
+        numbers = {"started": started, "settled": settled, "wallets": wallets}
+        return [frame.cast("bigint").alias("frame"), *[F.lit(v).cast("bigint").alias(k) for k, v in numbers.items()],
+                amount.alias("amount"), laundered.alias("laundered")]
 
+    marks = ev.select(F.explode(F.array(
+        F.struct(*mark(F.col("frame"), started=1, amount=F.col("amount"), laundered=_laundered())),
+        F.struct(*mark(F.col("settle"), settled=1)))).alias("m")).select("m.*").where(F.col("frame") <= n)
     ends = ev.select("frame", F.explode(F.array(F.col("from"), F.col("to"))).alias("address"))
     ends = ends.unionByName(_attackers(nodes_df).select(F.lit(0).cast("bigint").alias("frame"), "address"))
-    first = (ends.where(F.col("address").isNotNull()).groupBy("address").agg(F.min("frame").alias("frame"))
-                 .groupBy("frame").agg(F.count(F.lit(1)).alias("_new_wallets")))
-
-    grid = spark.range(0, n + 1).select(F.col("id").alias("frame"))
-    # Both right-hand sides have at most n + 1 rows (one per grid position).
-    g = grid.join(F.broadcast(per_frame), "frame", "left").join(F.broadcast(first), "frame", "left")
-    upto = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = g.select(
-        "frame",
-        F.sum(F.coalesce("_events", F.lit(0))).over(upto).alias("events"),
-        F.sum(F.coalesce("_eth", zero)).over(upto).alias("_c_eth"),
-        F.sum(F.coalesce("_laundered", zero)).over(upto).alias("_c_laundered"),
-        F.sum(F.coalesce("_settled", F.lit(0))).over(upto).alias("_c_settled"),
-        F.sum(F.coalesce("_new_wallets", F.lit(0))).over(upto).alias("wallets"))
+    first = ends.where(F.col("address").isNotNull()).groupBy("address").agg(F.min("frame").alias("frame"))
+    grid = spark.range(0, n + 1).select(*mark(F.col("id")))
+    rows = marks.unionByName(first.select(*mark(F.col("frame"), wallets=1))).unionByName(grid)
+
+    sums = {"started": T.LongType(), "settled": T.LongType(), "wallets": T.LongType(),
+            "amount": T.DecimalType(38, 18), "laundered": T.DecimalType(38, 18)}
+    per = rows.groupBy("frame").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0).cast(t))).cast(t).alias(c) for c, t in sums.items()])
+    per = per.withColumn("_block", F.expr(f"frame div {C.GRID_BLOCK}"))
+    upto = Window.partitionBy("_block").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = per.select("frame", "_block", *[F.sum(c).over(upto).cast(t).alias(c) for c, t in sums.items()])
+    if n >= C.GRID_BLOCK:
+        before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = (per.groupBy(F.col("_block").alias("_at")).agg(*[F.sum(c).cast(t).alias(f"_{c}") for c, t in sums.items()])
+                   .select("_at", *[F.coalesce(F.sum(f"_{c}").over(before).cast(t), F.lit(0).cast(t)).alias(f"_{c}")
+                                    for c, t in sums.items()]))  # a row per block
+        cum = cum.join(checked_broadcast(offsets), F.col("_block") == F.col("_at")).select(
+            "frame", *[plus(F.col(c), F.col(f"_{c}"), t).alias(c) for c, t in sums.items()])
     return cum.select(
-        F.col("frame").cast("bigint").alias("frame"),
-        (clock.start + (F.col("frame") * clock.span) / F.lit(float(n))).alias("t_ms"),
-        F.col("events").cast("bigint").alias("events"),
-        F.col("_c_eth").cast("double").alias("eth"),
-        F.col("_c_laundered").cast("double").alias("laundered"),
-        F.col("wallets").cast("bigint").alias("wallets"),
-        (F.col("events") - F.col("_c_settled")).cast("bigint").alias("in_flight"),
+        "frame", (clock.start + (F.col("frame") * clock.span) / F.lit(float(n))).alias("t_ms"),
+        F.col("started").alias("events"),
+        F.col("amount").cast("double").alias("eth"),
+        F.col("laundered").cast("double").alias("laundered"),
+        "wallets", (F.col("started") - F.col("settled")).alias("in_flight"),
     )
 
 

@@ -21,10 +21,11 @@ from .. import schema as S
 from ..operators import actions as A
 from ..operators import graph as G
 from ..operators import replay as R
+from ..operators import states
 from ..operators.membership import Membership
-from ..operators.sizing import rows_at_most
+from ..operators.sizing import checked_broadcast
 from ..session import scratch_path
-from ..sources import fixtures, lists, readers, sinks
+from ..sources import fixtures, layouts, lists, readers, sinks, versions
 
 DEFAULT_PROFILE = "scale"
 AS_OF_POSITION = 500      # slider position used by the as-of queries (mid-way)
@@ -116,7 +117,7 @@ def _written_actions(p: Stages) -> DataFrame:
     """What the sink stored, by its own footer (S7 reads it with the model's schema)."""
     path = scratch_path(p.spark, "actions")
     sinks.write_actions(p.actions, path)
-    return p.spark.read.parquet(path)
+    return p.spark.read.parquet(versions.current(p.spark, path))
 
 
 def _classified(p: Stages) -> DataFrame:
@@ -125,7 +126,7 @@ def _classified(p: Stages) -> DataFrame:
     flags = [f"_{r}" for r in roles]
     listed = (lists.roles_from(p.inputs.roles).where(F.col("address").isNotNull()).groupBy("address")
               .agg(*[F.max(F.col("role") == r).alias(f) for r, f in zip(roles, flags)]))
-    side = F.broadcast(listed) if rows_at_most(listed, C.BROADCAST_MAX_ROWS) else listed
+    side = checked_broadcast(listed)
     wallets = G.distinct_wallets(p.actions).withColumnRenamed("address", "id")
     return (wallets.join(side, X.lower_key("id") == side["address"], "left")
             .select("id", X.classify("id", *map(F.col, flags)).alias("role")))
@@ -145,6 +146,52 @@ def _time_forms(p: Stages) -> DataFrame:
                             *[X.parse_block_time(c, T.StringType()).alias(n) for n, c in forms.items()])
 
 
+def _store(p: Stages) -> states.TimelineStore:
+    """The timeline with its periodic states, written and opened again."""
+    return states.write_store(p.timeline, scratch_path(p.spark, "store"))
+
+
+def _stored_snapshot(p: Stages) -> DataFrame:
+    store = _store(p)
+    return store.snapshot(store.time_at(AS_OF_POSITION), p.nodes)
+
+
+def _stored_totals(p: Stages) -> DataFrame:
+    store = _store(p)
+    return store.totals(store.time_at(AS_OF_POSITION), p.nodes)
+
+
+def _stored_as_of(p: Stages) -> DataFrame:
+    store = _store(p)
+    return store.as_of(store.time_at(AS_OF_POSITION))
+
+
+def _bucketed_exits(p: Stages) -> DataFrame:
+    """J1 over both inputs stored in the buckets of its keys."""
+    path, i = scratch_path(p.spark, "bucketed"), p.inputs
+    transfers = layouts.write_bucketed(i.transfers, f"{path}/transfers", layouts.TRANSFER_KEYS)
+    transactions = layouts.write_bucketed(i.transactions, f"{path}/transactions", layouts.TRANSACTION_KEYS)
+    return A.exit_transfers(transfers, transactions, p.vault)
+
+
+def _stored_wallet(p: Stages) -> DataFrame:
+    """F6 in nodes stored by wallet."""
+    path = scratch_path(p.spark, "nodes")
+    layouts.write_lookup(p.nodes, path, cluster=["id"])
+    nodes = p.spark.read.schema(S.NODES).parquet(path)
+    found = nodes.orderBy(F.col("tx_count").desc(), F.col("id")).select("id").first()  # one row: what is looked up
+    return G.wallet_detail(nodes, found.id if found else "")
+
+
+def _stored_transfer(p: Stages) -> DataFrame:
+    """F7 in a timeline stored by time, with Bloom filters on hash and wallets."""
+    path = scratch_path(p.spark, "timeline")
+    layouts.write_lookup(p.timeline, path, cluster=S.EVENT_ORDER, bloom=["hash", "from", "to"])
+    tl = p.spark.read.parquet(path)
+    found = tl.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("hash")).select("hash").first()
+    return R.transfer_detail(tl, found.hash if found else "")
+
+
 def _some_null(tl: DataFrame) -> DataFrame:
     """The timeline with some amounts missing."""
     return tl.withColumn("amount", F.when(~F.col("hash").endswith("3"), F.col("amount")))
@@ -198,10 +245,13 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "F5_role_filter": lambda p: G.role_filter(p.nodes, C.ROLE_ATTACKER),
     "F6_wallet_detail": lambda p: G.wallet_detail(p.nodes, busiest_wallet(p.nodes)),
     "F7_transfer_detail": lambda p: R.transfer_detail(p.timeline, most_traced_hash(p.timeline)),
+    "F6_stored_wallet": _stored_wallet,
+    "F7_stored_transfer": _stored_transfer,
     "F8_labelled_amount": lambda p: p.timeline.select(
         "hash", "from", "to", "ts_ms", X.labelled_amount("amount").alias("amount_label")),
     # joins
     "J1_exit_transfers": lambda p: A.exit_transfers(p.inputs.transfers, p.inputs.transactions, p.vault),
+    "J1_bucketed_exits": _bucketed_exits,
     "J2_watch_semi": lambda p: A.mutual_transfers(
         p.inputs.transfers, Membership(p.inputs.watchlist, mode="broadcast")),
     "J3_role_lookup": lambda p: G.role_lookup(G.distinct_wallets(p.actions), p.inputs.roles),
@@ -231,6 +281,9 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "T1_snapshot": lambda p: R.snapshot(p.timeline, p.nodes, position=AS_OF_POSITION),
     "T1_null_amounts": lambda p: R.snapshot(_some_null(p.timeline), p.nodes, position=AS_OF_POSITION),
     "T2_totals_at": lambda p: R.totals_at(p.timeline, p.nodes, position=AS_OF_POSITION),
+    "T1_stored_snapshot": _stored_snapshot,
+    "T2_stored_totals": _stored_totals,
+    "F4_stored_as_of": _stored_as_of,
     "T3_frames": lambda p: R.frames(p.timeline, p.nodes),
     "T4_activation_play": lambda p: R.activation(p.timeline, p.nodes, "play"),
     "T4_activation_scrub": lambda p: R.activation(p.timeline, p.nodes, "scrub"),

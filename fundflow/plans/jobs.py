@@ -2,16 +2,21 @@
 
 ``extract``  transfers + transactions -> ``<out>/actions`` (Parquet), then a
              5-row preview read back from the written data (no recompute).
-``graph``    actions -> ``<out>/tables/{nodes,edges}`` (Parquet, which replay
-             reads) and ``<out>/graph/{nodes,edges}`` (JSON lines, an export);
-             role counts and totals printed.
-``replay``   actions -> ``<out>/replay/{timeline,frames,activation,running,
-             pair_sequence,lanes}`` (Parquet).  The timeline is written once
-             and read back, so every replay output starts from a stored table
-             instead of re-running the extraction; its clock is read once.
-             Events whose time can't be read are counted and printed.
+``graph``    actions -> ``<out>/tables``: ``nodes`` and ``edges`` (Parquet,
+             which replay reads), and ``<out>/graph``: both as JSON lines (an
+             export); role counts and totals printed.
+``replay``   actions -> ``<out>/replay``: ``timeline, frames, activation_*,
+             running, pair_sequence, wallet_running, lanes`` (Parquet), and
+             ``<out>/store`` (periodic states, ``operators.states``).  The
+             timeline is written once and read back, so every replay output
+             starts from a stored table instead of re-running the extraction;
+             its clock is read once.  Events whose time can't be read are
+             counted and printed.
 ``all``      the three in a row.
 
+Every output is a committed version (``sources.versions``; read its folder
+with ``versions.current``): a job that dies leaves the former one readable.
+
 Without any list the traced case's lists (``sources.presets``) are used.  As
 soon as one of ``--watchlist/--vaults/--attackers/--hops`` is given (a Parquet
 path, a CSV with an ``address`` column or a text file with one address per
@@ -42,8 +47,9 @@ from .. import schema as S
 from ..operators import actions as A
 from ..operators import graph as G
 from ..operators import replay as R
+from ..operators import states
 from ..session import get_session
-from ..sources import lists, presets, readers, sinks
+from ..sources import layouts, lists, presets, readers, sinks, versions
 
 
 def _list(spark: SparkSession, given, default, any_given: bool):
@@ -82,8 +88,12 @@ def build_graph(spark: SparkSession, out: str, attackers=None, vaults=None,
     if not any_given:
         given = {"attackers": presets.ATTACKERS, "vaults": presets.VAULTS, "hops": presets.HOPS}
     roles = lists.roles(spark, **given)
-    G.nodes(actions, roles).write.mode("overwrite").parquet(f"{out}/tables/nodes")
-    G.edges(actions).write.mode("overwrite").parquet(f"{out}/tables/edges")
+
+    def write(folder: str) -> None:
+        layouts.write_lookup(G.nodes(actions, roles), f"{folder}/nodes", cluster=["id"])
+        G.edges(actions).write.parquet(f"{folder}/edges")
+
+    versions.write_version(spark, f"{out}/tables", write)
     nodes, edges = graph_tables(spark, out)
     sinks.write_graph(nodes, edges, f"{out}/graph")
     G.graph_summary(nodes, edges).show(truncate=False)
@@ -91,27 +101,34 @@ def build_graph(spark: SparkSession, out: str, attackers=None, vaults=None,
 
 
 def graph_tables(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    return (spark.read.schema(S.NODES).parquet(f"{out}/tables/nodes"),
-            spark.read.schema(S.EDGES).parquet(f"{out}/tables/edges"))
+    folder = versions.current(spark, f"{out}/tables")
+    if folder is None:
+        raise FileNotFoundError(f"no committed graph tables below {out}; run the graph job first")
+    return spark.read.schema(S.NODES).parquet(f"{folder}/nodes"), spark.read.schema(S.EDGES).parquet(f"{folder}/edges")
 
 
 def replay(spark: SparkSession, out: str) -> None:
     nodes, edges = graph_tables(spark, out)
-    base = f"{out}/replay"
-    R.timeline_order(R.timeline(edges)).write.mode("overwrite").parquet(f"{base}/timeline")
-    tl = spark.read.parquet(f"{base}/timeline")
-    clock = R.Clock(tl)
-    outputs = {
-        "frames": R.frames(tl, nodes, clock=clock),
-        "activation_play": R.activation(tl, nodes, "play", clock),
-        "activation_scrub": R.activation(tl, nodes, "scrub", clock),
-        "running": R.running_totals(tl),
-        "pair_sequence": R.pair_sequence(tl),
-        "wallet_running": R.running_wallet_totals(tl),
-        "lanes": R.lane_index(tl, nodes),
-    }
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
+
+    def write(folder: str) -> None:
+        layouts.write_lookup(R.timeline(edges), f"{folder}/timeline", cluster=S.EVENT_ORDER, bloom=["hash", "from", "to"])
+        tl = spark.read.parquet(f"{folder}/timeline")
+        clock = R.Clock(tl)
+        outputs = {
+            "frames": R.frames(tl, nodes, clock=clock),
+            "activation_play": R.activation(tl, nodes, "play", clock),
+            "activation_scrub": R.activation(tl, nodes, "scrub", clock),
+            "running": R.running_totals(tl),
+            "pair_sequence": R.pair_sequence(tl),
+            "wallet_running": R.running_wallet_totals(tl),
+            "lanes": R.lane_index(tl, nodes),
+        }
+        for name, df in outputs.items():
+            df.write.parquet(f"{folder}/{name}")
+
+    folder = versions.write_version(spark, f"{out}/replay", write)
+    tl = spark.read.parquet(f"{folder}/timeline")
+    states.write_store(tl, f"{out}/store")
     R.flow_totals(tl, nodes).show(truncate=False)
     print(f"events without a readable time: {R.untimed_count(edges).first().untimed or 0}")
 

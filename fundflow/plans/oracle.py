@@ -397,6 +397,11 @@ BODIES["W3_null_amounts"] = _with_nulls("W3_running_totals", "tl")
 BODIES["W4_null_amounts"] = _with_nulls("W4_running_wallet_totals").replace("FROM tl_ends WHERE", """FROM (
   SELECT address, side_rank, "from", "to", CASE WHEN right(hash, 1) = '3' THEN NULL ELSE amount END AS amount,
          ts_ms, label, hash FROM tl_ends) WHERE""")
+# the same questions, asked of stored states and layouts
+for _stored, _plain in (("T1_stored_snapshot", "T1_snapshot"), ("T2_stored_totals", "T2_totals_at"), ("F4_stored_as_of", "F4_as_of"),
+                        ("J1_bucketed_exits", "J1_exit_transfers"), ("F6_stored_wallet", "F6_wallet_detail"),
+                        ("F7_stored_transfer", "F7_transfer_detail")):
+    BODIES[_stored] = BODIES[_plain]
 BODIES["T1_null_amounts"] = _with_nulls("T1_snapshot").replace("FROM seen", f"FROM {_NULL_TL.format(src='seen')}")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from . import versions
 from ..functions import lower_key, money
 
 
@@ -67,18 +68,27 @@ def scan_transactions(spark: SparkSession, path: str, schema: T.StructType | Non
     return normalize_transactions(reader.parquet(path).select(*S.TRANSACTION_COLUMNS), **kw)
 
 
+def _stored(spark: SparkSession, path: str, schema: T.StructType, form: str) -> DataFrame:
+    """A dataset with its schema given; an absent one is empty."""
+    if not versions.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(form).load(path)
+
+
 def scan_actions(spark: SparkSession, path: str) -> DataFrame:
-    """The action table written by ``write_actions`` (schema given, no footer inference)."""
-    return spark.read.schema(S.ACTIONS).parquet(path)
+    """The newest action table written by ``write_actions``, or a plain Parquet folder.
+
+    The schema is given, so no footer is read for it.
+    """
+    return _stored(spark, versions.current(spark, path) or path, S.ACTIONS, "parquet")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph written by ``write_graph``.
+    """(nodes, edges) of the newest graph written by ``write_graph``, or of a plain folder.
 
-    Two JSON-lines datasets ``<path>/nodes`` and ``<path>/edges``, read with
-    their schema given (no inference pass), split across tasks like any
-    line-oriented input.
+    Two JSON-lines datasets ``nodes`` and ``edges``, read with their schema
+    given (no inference pass), split across tasks like any line-oriented
+    input.  An absent part is empty.
     """
-    nodes = spark.read.schema(S.NODES).json(f"{path}/nodes")
-    edges = spark.read.schema(S.EDGES).json(f"{path}/edges")
-    return nodes, edges
+    folder = versions.current(spark, path) or path
+    return _stored(spark, f"{folder}/nodes", S.NODES, "json"), _stored(spark, f"{folder}/edges", S.EDGES, "json")

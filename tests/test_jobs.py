@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from paths import SF001
 from fundflow.plans import jobs
 from fundflow.session import scratch_path
-from fundflow.sources import fixtures
+from fundflow.sources import fixtures, versions
 
 
 def test_extract_graph_replay(spark, capsys):
@@ -22,11 +22,12 @@ def test_extract_graph_replay(spark, capsys):
                     "--vaults", f"{base}/in/vaults", "--attackers", f"{base}/in/attackers",
                     "--hops", f"{base}/in/hops"])
     assert rc == 0
-    assert spark.read.parquet(f"{out}/actions").count() == 843
-    nodes = spark.read.json(f"{out}/graph/nodes")
+    assert spark.read.parquet(versions.current(spark, f"{out}/actions")).count() == 843
+    nodes = spark.read.json(versions.current(spark, f"{out}/graph") + "/nodes")
     assert nodes.count() == 151
     roles = {r.role: r.n for r in nodes.groupBy("role").agg(F.count("*").alias("n")).collect()}
     assert roles["attacker"] == 5 and roles["thorchain"] == 4 and roles["pre-inter"] == 1
-    assert spark.read.parquet(f"{out}/replay/frames").count() == 1001
-    assert spark.read.parquet(f"{out}/replay/timeline").count() == 843
-    assert spark.read.parquet(f"{out}/replay/lanes").count() == 151
+    replay = versions.current(spark, f"{out}/replay")
+    assert spark.read.parquet(f"{replay}/frames").count() == 1001
+    assert spark.read.parquet(f"{replay}/timeline").count() == 843
+    assert spark.read.parquet(f"{replay}/lanes").count() == 151

@@ -71,14 +71,50 @@ def test_ranged_strategy_sends_no_event_rows_through_one_task(spark, fn):
     from fundflow.operators import replay as R
     from fundflow.session import default_parallelism
     p = Stages(spark, SF001)
-    events = p.timeline.count()
+    events = p.timeline.distinct().count()
     df = getattr(R, fn)(p.timeline, strategy="ranged")
     df.collect()
     shuffles = _exchanges(df._jdf.queryExecution().executedPlan(), [])
     bound = 2 * default_parallelism(spark) + 1
     single = [rec for part, rec in shuffles if part.startswith("SinglePartition")]
     assert all(rec <= bound for rec in single), shuffles
-    assert any(part.startswith("rangepartitioning") and rec == events for part, rec in shuffles), shuffles
+    assert any(part.startswith("hashpartitioning(_b") and rec == events for part, rec in shuffles), shuffles
+
+
+@pytest.mark.parametrize("fn", ["running_totals", "running_wallet_totals"])
+def test_ranged_strategy_scans_once_and_freezes_nothing(spark, fn, monkeypatch):
+    """One count, no checkpoint, no range exchange, and both branches read one exchange of the source."""
+    from fundflow.operators import replay as R
+    path = scratch_path(spark, "t-tl")
+    Stages(spark, SF001).timeline.write.parquet(path)
+    tl = spark.read.parquet(path)
+    DataFrame, counts = type(tl), []
+    count = DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda df: counts.append(1) or count(df))
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda *a, **k: pytest.fail("checkpoint"))
+    monkeypatch.setattr(DataFrame, "localCheckpoint", lambda *a, **k: pytest.fail("localCheckpoint"))
+    df = getattr(R, fn)(tl, strategy="ranged")
+    df.collect()
+    s = plan(df).split("== Initial Plan ==")[0]
+    assert len(counts) == 1 and s.count("Scan parquet") == 1 and s.count("ReusedExchange") == 1, s
+    assert "rangepartitioning" not in s
+    out = sorted(map(str, df.collect()))
+    assert out == sorted(map(str, getattr(R, fn)(tl, strategy="window").collect()))
+
+
+def test_buckets_are_even_and_cut_a_hot_group(spark):
+    from fundflow.operators import sequence as Q
+    from pyspark.sql import functions as F
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"),
+                                    F.pmod(F.xxhash64("id"), F.lit(5000)).alias("t"), F.lit(None).cast("string").alias("x"))
+    names = ["k", "t", "x"]
+    cuts, literal = Q.splitters(df, names, 10, 20_000)
+    sizes = [r["count"] for r in df.select(Q.bucket_of(Q.composite_key(names), cuts, literal).alias("b")).groupBy("b").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 3 * 20_000 / 10
+    # a bucket is the number of splitters that aren't above the key, as the sort order has it
+    rows = (df.distinct().select(*names, Q.bucket_of(Q.composite_key(names), cuts, literal).alias("b"))
+            .orderBy(*[F.col(c).asc_nulls_last() for c in names]).collect())
+    assert [r.b for r in rows] == sorted(r.b for r in rows)
 
 
 def test_results_hold_without_automatic_broadcast(spark):

@@ -2,7 +2,7 @@
 
 Thresholds are set to zero so that every list is a shuffled join, role
 tables are not broadcast and every ordered window takes the ranged path
-(range partitions + checkpoint + offsets); results must still equal the
+(splitters + buckets + offsets); results must still equal the
 SQL oracle.
 """
 import pytest

@@ -1,19 +1,35 @@
 """Helpers shared by the operators of this package."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
+_MAKING: ContextVar[list[str] | None] = ContextVar("making", default=None)
+
 
-#: Paths of the tables that operators wrote, in order.
-MADE: list[str] = []
+@contextmanager
+def making() -> Iterator[list[str]]:
+    """Collects the paths of the tables that operators write inside it; who opens it owns them."""
+    own: list[str] = []
+    token = _MAKING.set(own)
+    try:
+        yield own
+    finally:
+        _MAKING.reset(token)
 
 
 def made_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, recorded so that a pipeline can delete it later."""
-    MADE.append(scratch_path(spark, name))
-    return MADE[-1]
+    """A new path in the shared folder, told to whoever collects them (``making``)."""
+    path = scratch_path(spark, name)
+    own = _MAKING.get()
+    if own is not None:
+        own.append(path)
+    return path
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
@@ -45,6 +61,26 @@ def reread(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def roots(df: DataFrame) -> set[str]:
+    """Folders that the stored tables in a frame's plan are read from (no file is listed)."""
+    found, leaves = set(), df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths().iterator()
+            while paths.hasNext():
+                found.add(paths.next().toString())
+    return found
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partition count for an explicit exchange: the session's own setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

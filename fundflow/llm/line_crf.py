@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, table, written
 from .toxicity import held_out
 
 #: Labelled documents to learn from, at most; tasks that hold them; lines of a chain there.
@@ -288,7 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
-    """``docs`` with ``name`` added; every column is kept."""
+    """``docs`` with ``name`` added; every column is kept (a column of that name raises)."""
+    if name != free_name(docs, name):
+        raise ValueError(f"the documents have a column {name}")
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         out: list[float] = []

@@ -12,7 +12,7 @@ takes evidence to reject one.
 DataFrame functions only.  The per-document counts are made within the row
 (no exchange of words); they are written once and the host totals combine
 before their exchange, so a hot host is no hot task; the join back moves
-only the counts.
+only the counts, and hosts are broadcast or salted.
 
 Defined results: null text has no words (fails); a null source is a host of
 its own; repeated rows count and are returned each; an empty table gives no
@@ -31,8 +31,8 @@ LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 #: A host with a shrunken failure rate above this is rejected.
 HOST_RATE = 0.5
-#: Rejected hosts that may be broadcast.
-MOST_HOSTS = 100_000
+#: Hosts that may be broadcast (counted first), and salts of a larger join.
+MOST_HOSTS, SALTS = 100_000, 32
 #: Bounds of alpha + beta, the prior's weight in documents.
 PRIOR_LEAST, PRIOR_MOST = 2.0, 1000.0
 
@@ -70,10 +70,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def host_rates(counts: DataFrame) -> DataFrame:
-    """``host, host_docs, host_failures, host_rate`` with the fitted prior."""
-    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"),
-                                       F.sum(F.col("base_failed").cast("long")).alias("host_failures"))
+def host_of() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
+def host_rates(hosts: DataFrame) -> DataFrame:
+    """``host, host_docs, host_failures`` with ``host_rate`` under the fitted prior."""
     n, k = F.col("host_docs"), F.col("host_failures")
     # one row: the moments of all hosts
     m = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n"), F.sum(k).alias("k"),
@@ -93,17 +95,27 @@ def beta_prior(hosts: int, n: int, k: int, squares: float) -> tuple[float, float
     return mean * weight, (1 - mean) * weight
 
 
-def judged(docs: DataFrame, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """``(counts, rates)``: the written counts of every row with ``base_failed`` and ``host``, and the hosts' rates."""
-    counts = written(document_counts(docs, keep).select(
-        "*", base_failed().alias("base_failed"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host")), "quality")
-    return counts, host_rates(counts).select("host", "host_docs", "host_rate")
+def with_hosts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``rows`` joined with a table of hosts, so that a hot host is no hot task.
+
+    Up to MOST_HOSTS hosts are broadcast.  Beyond, the hosts are repeated for
+    each of SALTS salts and a host's rows are dealt over them.
+    """
+    if hosts.count() <= MOST_HOSTS:
+        return rows.join(F.broadcast(hosts), "host")
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    repeated = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, ["host", "_salt"]).drop("_salt")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, the host's rate and ``kept`` for every row of ``docs``."""
-    counts, rates = judged(docs)
-    return counts.join(rates, "host").select(
+    counts = written(document_counts(docs).select(
+        "*", base_failed().alias("base_failed"), host_of().alias("host")), "quality")
+    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"),
+                                       F.sum(F.col("base_failed").cast("long")).alias("host_failures"))
+    rates = written(host_rates(hosts).select("host", "host_docs", "host_rate"), "hosts")
+    return with_hosts(counts, rates).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("host_rate") <= HOST_RATE)).alias("kept"), "host_docs")
 
@@ -111,15 +123,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Joined with the rejected hosts only, which are broadcast up to
-    ``MOST_HOSTS`` of them; beyond, the join is Spark's to plan.
+    Rows that fail a base rule are never written: a host's failures are its
+    rows, counted from the sources alone, less those that passed.
     """
-    counts, rates = judged(docs, docs.columns)
-    rejected = written(rates.where(F.col("host_rate") > HOST_RATE).select("host"), "rejected-hosts")
-    if rejected.count() <= MOST_HOSTS:
-        rejected = F.broadcast(rejected)
-    good = counts.where(~F.col("base_failed")).join(rejected, "host", "left_anti")
-    return good.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    counts = document_counts(docs, docs.columns)
+    passed = written(counts.where(~base_failed()).select(host_of().alias("host"), "rest"), "passed")
+    all_rows = docs.select(host_of().alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    good = passed.groupBy("host").agg(F.count(F.lit(1)).alias("_good"))
+    hosts = all_rows.join(good, "host", "left").select(
+        "host", "host_docs", (F.col("host_docs") - F.coalesce("_good", F.lit(0))).alias("host_failures"))
+    accepted = written(host_rates(hosts).where(F.col("host_rate") <= HOST_RATE).select("host"), "accepted-hosts")
+    return with_hosts(passed, accepted).select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def quality_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

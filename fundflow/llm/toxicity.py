@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, table, written
 
 #: Labelled documents that the classifier is fitted on, at most.
 MOST_LABELLED = 30_000
@@ -281,8 +281,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     return model
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxic_score`` added; every column is kept."""
+def score_documents(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
+    """``docs`` with ``name`` added; every column is kept (a column of that name raises)."""
+    if name != free_name(docs, name):
+        raise ValueError(f"the documents have a column {name}")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # lexicon and character model, both bounded
 
@@ -290,7 +292,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def score(text: pd.Series) -> pd.Series:
         return text.map(shared.value.score).astype(float)
 
-    return docs.withColumn("toxic_score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.withColumn(name, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:

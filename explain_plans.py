@@ -26,11 +26,11 @@ NOTES = {
                "vault calls pre-aggregated on the small side; no shuffle of transfers",
     "nodes": "endpoint explode -> partial + final hash aggregation by address; roles broadcast",
     "edges_with_roles": "only the non-default roles are broadcast; edges are never shuffled",
-    "frames": "two aggregations keyed by grid position, joined to the 1001-row grid; no cross join",
+    "frames": "marks, first sightings and the empty grid summed per position; prefix sums in blocks; no cross join",
     "snapshot": "as-of filter is a literal pushed into the scan; aggregation by address",
     "running_totals (window)": "plain window, chosen only after the size check",
-    "running_totals (ranged)": "checkpointed range partitions; local window reuses the range "
-                               "exchange on the partition id; offsets broadcast (<= 2 x partitions rows)",
+    "running_totals (ranged)": "equal rows counted as one; bucket by binary search in literal splitters; rows and offsets "
+                               "read one exchange (ReusedExchange), offsets broadcast (<= 2 x buckets rows); no checkpoint",
     "pair_sequence (ranged)": "same engine partitioned by pair key",
     "activation": "per-address min over endpoint rows, joined 1:1 to nodes",
 }

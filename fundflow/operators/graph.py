@@ -167,15 +167,15 @@ def edges(actions: DataFrame) -> DataFrame:
 def special_roles(nodes_df: DataFrame) -> DataFrame:
     """Wallets whose role is not the default, as ``(address, role)``.
 
-    ``nodes_df`` is the role list ``(address, role, priority)`` itself, or
-    the graph's nodes.  Only listed wallets (attackers, vaults, hops) carry
-    such a role, so this relation is as small as the role lists; it is
-    broadcast after a check.  The list needs no wallet totals.
+    ``nodes_df`` is the role list ``(address, role, priority)`` itself, which
+    is broadcast after a check of its size and needs no wallet totals, or the
+    graph's nodes.  Nodes may be a plan whose size is known only once it has
+    run, so that join is left to the adaptive planner, which broadcasts the
+    side if it turns out small; counting it first would run the plan twice.
     """
     if "priority" in nodes_df.columns:
         return _roles_side(nodes_df)
-    r = nodes_df.where(F.col("role") != C.ROLE_DEFAULT).select(F.col("id").alias("address"), "role")
-    return checked_broadcast(r)
+    return nodes_df.where(F.col("role") != C.ROLE_DEFAULT).select(F.col("id").alias("address"), "role")
 
 
 def with_roles(df: DataFrame, nodes_df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:

@@ -12,8 +12,8 @@ Stored, that is
                       state: a row per state.
 
 At time T a query reads the last state before T and the events of the periods
-from there up to T; the partition filters are literals, so no other file is
-read.  The store is one committed version (``sources.versions``): a job
+from there up to T; the manifest names the periods, so no other folder is
+listed or read.  The store is one committed version (``sources.versions``): a job
 that dies while it writes leaves the former store readable.
 
 Events without a time aren't stored.  Null amounts count as zero in a state,
@@ -81,9 +81,11 @@ def write_store(tl: DataFrame, path: str, width_ms: int = DAY_MS, most_states: i
             F.count(F.lit(1)).alias("transfers"), F.sum(F.coalesce("amount", _zero())).cast(C.MONEY_TYPE).alias("eth"),
             F.sum(F.coalesce(R._laundered(), _zero())).cast(C.MONEY_TYPE).alias("laundered"))
         totals.coalesce(1).write.parquet(f"{folder}/totals")  # a row per state
+        # the periods that have events (at most the days between first and last)
+        facts["periods"] = sorted(r.period for r in events.select("period").distinct().collect())
 
-    versions.write_version(spark, path, write, keep, width_ms=width_ms, every=every, first=first, last=last,
-                           start_ms=clock.start_ms, end_ms=clock.end_ms)
+    facts = dict(width_ms=width_ms, every=every, first=first, last=last, start_ms=clock.start_ms, end_ms=clock.end_ms)
+    versions.write_version(spark, path, write, keep, facts)
     return open_store(spark, path)
 
 
@@ -92,8 +94,8 @@ def open_store(spark: SparkSession, path: str) -> "TimelineStore":
     folder, facts = versions.current(spark, path), versions.facts(spark, path)
     if folder is None:
         raise FileNotFoundError(f"no committed timeline store below {path}")
-    return TimelineStore(spark, folder, facts["width_ms"], facts["every"], facts["first"], facts["last"],
-                         facts["start_ms"], facts["end_ms"])
+    return TimelineStore(spark, folder, *[facts[k] for k in ("width_ms", "every", "first", "last", "start_ms", "end_ms")],
+                         tuple(facts["periods"]))
 
 
 _EVENTS = "`from` string, `to` string, amount decimal(38,18), ts_ms bigint, label string, hash string, period bigint"
@@ -111,6 +113,7 @@ class TimelineStore:
     last: int
     start_ms: int | None
     end_ms: int | None
+    periods: tuple[int, ...]
 
     # --- places in time -----------------------------------------------------
     def time_at(self, position: int, n: int = C.FRAME_COUNT) -> int:
@@ -122,22 +125,33 @@ class TimelineStore:
         return min(max(t // self.width_ms - self.first, 0), self.last - self.first) // self.every
 
     # --- tables ----------------------------------------------------------------
-    def events(self) -> DataFrame:
-        return self.spark.read.schema(_EVENTS).parquet(f"{self.folder}/events")
+    def _parts(self, name: str, schema: str, folders: list[str]) -> DataFrame:
+        """Some partitions of a table; only their folders are listed."""
+        base = f"{self.folder}/{name}"
+        found = [f"{base}/{f}" for f in folders]
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*found)
+
+    def events(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        """Events of the periods from ``first`` to ``last``."""
+        return self._parts("events", _EVENTS, [f"period={p}" for p in self.periods
+                                               if (first is None or p >= first) and (last is None or p <= last)])
 
     def as_of(self, t: int) -> DataFrame:
         """events up to ``t``; only the files of the periods up to then are read."""
-        return self.events().where((F.col("period") <= t // self.width_ms) & (F.col("ts_ms") <= t)).drop("period")
+        return self.events(last=t // self.width_ms).where(F.col("ts_ms") <= t).drop("period")
 
     def delta(self, t: int) -> DataFrame:
         """Events after the last state and up to ``t``; only the files of those periods are read."""
         since = self.first + self.state_before(t) * self.every
-        return self.events().where((F.col("period") >= since) & (F.col("period") <= t // self.width_ms) & (F.col("ts_ms") <= t)).drop("period")
+        return self.events(since, t // self.width_ms).where(F.col("ts_ms") <= t).drop("period")
 
     def state(self, t: int) -> DataFrame:
         """``address, txns, sent, received`` of the last stored state before ``t``."""
-        return (self.spark.read.schema(_STATES).parquet(f"{self.folder}/states")
-                .where(F.col("state") == self.state_before(t)).drop("state"))
+        name = f"state={self.state_before(t)}"
+        there = versions.exists(self.spark, f"{self.folder}/states/{name}")
+        return self._parts("states", _STATES, [name] if there else []).drop("state")
 
     # --- T1, T2 ------------------------------------------------------------------
     def snapshot(self, t: int, nodes: DataFrame) -> DataFrame:

@@ -146,6 +146,12 @@ def _time_forms(p: Stages) -> DataFrame:
                             *[X.parse_block_time(c, T.StringType()).alias(n) for n, c in forms.items()])
 
 
+def _wider(df: DataFrame) -> DataFrame:
+    """A table as a lake may hold it: columns in another order, and more of them, some named like the output's."""
+    more = {"chain": F.lit("main"), "label": F.lit("as received"), "gas": F.length(F.col(df.columns[0]))}
+    return df.select(*[c.alias(n) for n, c in more.items()], *[F.col(f"`{c}`") for c in reversed(df.columns)])
+
+
 def _store(p: Stages) -> states.TimelineStore:
     """The timeline with its periodic states, written and opened again."""
     return states.write_store(p.timeline, scratch_path(p.spark, "store"))
@@ -226,7 +232,7 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
         "block_time", "tx_hash", "from_address", "to_address", "amount", "label")),
     # projections / filters
     "P1_with_label": lambda p: A.with_label(p.inputs.transfers, C.LABEL_MUTUAL),
-    "P2_action_columns": lambda p: p.actions,
+    "P2_action_columns": lambda p: A.actions(_wider(p.inputs.transfers), _wider(p.inputs.transactions), p.watch, p.vault),
     "P3_drop_right_time": lambda p: A.exit_transfers(
         p.inputs.transfers, p.inputs.transactions.withColumn("block_time", F.lit("another time")), p.vault),
     "P4_cast_amounts": lambda p: A.actions(p.scanned_transfers, p.scanned_transactions, p.watch, p.vault).select(

@@ -83,10 +83,10 @@ def current(spark: SparkSession, path: str, number: int | None = None) -> str |
     return None
 
 
-def write_version(spark: SparkSession, path: str, write: Callable[[str], None], keep: int = 2, **facts) -> str:
+def write_version(spark: SparkSession, path: str, write: Callable[[str], None], keep: int = 2, facts: dict | None = None) -> str:
     """Runs ``write(folder)`` on a new folder and commits it; returns the folder.
 
-    ``facts`` are small values stored in the manifest.  The newest ``keep``
+    ``facts`` are small values stored in the manifest (``write`` may add some).  The newest ``keep``
     versions stay for readers under way; older ones are deleted after the
     commit.  Folders that were never committed are left: another writer may
     be at work on them.
@@ -97,7 +97,7 @@ def write_version(spark: SparkSession, path: str, write: Callable[[str], None],
     name = uuid.uuid4().hex
     folder = f"{path}/{DATA}/{name}"
     write(folder)
-    _commit(spark, path, {"data": name, **facts})
+    _commit(spark, path, {**(facts or {}), "data": name})
     committed = [(n, m["data"]) for n in _numbers(spark, path) if (m := _manifest(spark, path, n))]
     kept = {data for _, data in committed[:keep]}
     for n, data in committed[keep:]:

@@ -16,7 +16,7 @@ def local(path):
 
 def test_killed_write_leaves_the_old_result(spark):
     path = scratch_path(spark, "t-versions")
-    versions.write_version(spark, path, lambda f: spark.range(5).write.parquet(f), note="first")
+    versions.write_version(spark, path, lambda f: spark.range(5).write.parquet(f), facts={"note": "first"})
 
     def dies(folder):
         spark.range(9).write.parquet(folder)

@@ -123,17 +123,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Rows that fail a base rule are never written: a host's failures are its
-    rows, counted from the sources alone, less those that passed.
+    Of rows that fail a base rule only the verdict is written.  (The verdict is
+    a column before it is a filter: pushed below the counts it would repeat
+    their expressions many times over.)
     """
-    counts = document_counts(docs, docs.columns)
-    passed = written(counts.where(~base_failed()).select(host_of().alias("host"), "rest"), "passed")
-    all_rows = docs.select(host_of().alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    good = passed.groupBy("host").agg(F.count(F.lit(1)).alias("_good"))
-    hosts = all_rows.join(good, "host", "left").select(
-        "host", "host_docs", (F.col("host_docs") - F.coalesce("_good", F.lit(0))).alias("host_failures"))
+    verdicts = document_counts(docs, docs.columns).select(host_of().alias("host"), base_failed().alias("failed"), "rest")
+    rows = written(verdicts.select("host", "failed", F.when(~F.col("failed"), F.col("rest")).alias("rest")), "verdicts")
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failures"))
     accepted = written(host_rates(hosts).where(F.col("host_rate") <= HOST_RATE).select("host"), "accepted-hosts")
-    return with_hosts(passed, accepted).select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    return with_hosts(rows.where(~F.col("failed")), accepted).select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def quality_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ against the library's ids of whole texts.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable
 
@@ -25,9 +24,6 @@ RUNS_KEPT = 800_000
 MARK = "\x00"
 #: ASCII signs that end a run (no apostrophe: it starts contractions).
 SIGNS = ".,!?;:*$%&#|-()[]{}<>/+=\"@_~^`\\"
-#: A run of ASCII letters, or of lower-case Latin ones, and the signs that end it.
-_LOWER = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.islower() and c.lower() == c)
-_LETTERS_SIGNS = re.compile(rf"^([A-Za-z]+|[{_LOWER}]+)([{re.escape(SIGNS)}]*)$", re.M)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -93,33 +89,41 @@ class Encoder:
         """Ids of new runs.  Letters followed by ASCII signs are two
         pre-tokens and letters are lower-cased, so such a run is its
         lower-case letters' ids and its signs' ids."""
-        pairs = _LETTERS_SIGNS.findall("\n".join(runs)) if self.lower else []
-        known, parted = self.runs, [core + tail for core, tail in pairs]
-        cores = "\n".join([core for core, _ in pairs]).lower().split("\n") if pairs else []
-        tails = [tail for _, tail in pairs]
-        got = self._library(list(set(cores).difference(known)), True)
-        others = set(runs).difference(parted)
-        got |= self._library(list(others.union(tails).difference(known)), False)
-        find = {**{w: known[w] for w in set(cores).union(tails) if w in known}, **got}
-        got.update((run, find[core] + find[tail]) for run, core, tail in zip(parted, cores, tails))
+        parts, words, others, known = [], set(), [], self.runs
+        for run in runs:
+            core = run.rstrip(SIGNS)
+            if self.lower and core.isalpha() and (core.isascii() or core.islower() and max(core) < "\u0250"):
+                tail = run[len(core):]
+                core = core.lower()
+                parts.append((run, core, tail))
+                if core not in known:
+                    words.add(core)
+                if tail not in known:
+                    others.append(tail)
+            else:
+                others.append(run)
+        got = self._library(list(words), True)
+        got |= self._library(list(set(others)), False)
+        for run, core, tail in parts:
+            head = got[core] if core in got else known[core]
+            got[run] = head + (got[tail] if tail in got else known[tail]) if tail else head
         return got
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``; null is the empty text."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.runs
-        out: list = [list(map(known.get, s)) for s in split]
-        new = {r for s, ids in zip(split, out) if None in ids for r, i in zip(s, ids) if i is None}
-        fresh = self._learn(list(new)) if new else {}
-        for k, (s, ids) in enumerate(zip(split, out)):
-            if None in ids:
-                ids = [fresh[r] if i is None else i for r, i in zip(s, ids)]
-            out[k] = b"".join(ids)
-        if len(known) + len(fresh) > self.runs_kept:
+        new = list(set().union(*split).difference(known)) if split else []
+        fresh = self._learn(new)
+        long = {k: v for k, v in fresh.items() if len(k) > RUN_CHARS}
+        if len(known) + len(fresh) - len(long) > self.runs_kept:
             # forgetting costs time only: a forgotten run is encoded again
-            known = self.runs = {"": b""} | {r: known[r] for s in split for r in s if r in known}
-        known.update((k, v) for k, v in fresh.items() if len(k) <= RUN_CHARS)
-        return out
+            seen = {r: known[r] for s in split for r in s if r in known}
+            known = self.runs = {"": b""} | seen
+        known.update((k, v) for k, v in fresh.items() if k not in long)
+        if not long:
+            return [b"".join(map(known.__getitem__, s)) for s in split]
+        return [b"".join(long[r] if r in long else known[r] for r in s) for s in split]
 
     def encode_whole(self, text: str | None) -> list[int]:
         """The library's own ids of the whole text, for tests."""

@@ -19,18 +19,20 @@ minimum is exact.
 Links.  Equal texts are one class, and only the first text of a class goes
 on.  Texts that agree on a whole band meet in a bucket.  Round one compares
 each with its bucket's first text; linked texts form components.  Round two
-takes the buckets that still hold several components and compares every
-text outside the bucket's largest component with every text of another
-component.  Pairs inside a component need no comparison, so no bucket of
-copies is expanded into pairs, and no link between two components of a
-bucket is lost.  Every link is verified on the whole texts.
-
-Round two is the only place where pairs of a bucket are formed; there a
-pair is verified only if two bits of each of SKETCHED registers agree often
-enough (``sketch_least``).  Bands, rows and this bound come from the
-threshold: a pair at the threshold shares no band with a probability of MISS
-at most, and agrees less in the sketch with one of MISS at most.  At 0.8
-these are BANDS bands of ROWS registers; a lower threshold takes more.
+takes the buckets that still hold several components.  Texts that such
+buckets connect form a group; a group's texts are compared in one place,
+chunk against chunk, and each text travels once (and once more for every
+earlier chunk of a large group).  Within a task two texts are compared if
+two bits of each of SKETCHED registers agree often enough (``sketch_least``)
+and no link found so far joins their components.  Pairs are formed in memory
+only; what leaves a task are links, fewer than its texts.  No link between
+two components of a bucket is lost, and every link is verified on the whole
+texts.
+
+Bands, rows and the sketch's bound come from the threshold: a pair at the
+threshold shares no band with a probability of MISS at most, and agrees less
+in the sketch with one of MISS at most.  At 0.8 these are BANDS bands of ROWS
+registers; a lower threshold takes more.
 
 Defined results: null or wordless texts are linked to equal texts only; a
 null ``doc_id`` is smaller than every other; repeated rows are copies; ties
@@ -45,11 +47,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, block_of, block_texts, by_block, select_rows, write_blocks
-from .common import written
+from .common import shuffle_width, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands at least, registers of a band at most; the probability that a pair at the threshold shares no band,
@@ -59,6 +61,8 @@ SKETCHED = 128
 SKETCH = [f"s{k}" for k in range(4)]
 #: Text bytes signed at once, remembered word hashes per Python worker.
 CHUNK_BYTES, WORDS_KEPT = 4_000_000, 500_000
+#: Texts of a chunk in round two (a text counts once more for every ROW_CHARS characters), and of a step.
+CHUNK_ROWS, ROW_CHARS, COMPARED = 4096, 4096, 512
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -180,13 +184,6 @@ def sketches(signatures: np.ndarray) -> list[np.ndarray]:
             for at in (0, 64) for bit in (0, 1)]
 
 
-def agreement(a: str, b: str) -> Column:
-    """Registers whose two bits agree."""
-    differ = [F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}")).bitwiseOR(F.col(f"{a}{y}").bitwiseXOR(F.col(f"{b}{y}")))
-              for x, y in (("s0", "s1"), ("s2", "s3"))]
-    return F.lit(SKETCHED) - F.bit_count(differ[0]) - F.bit_count(differ[1])
-
-
 def sign(bands: int, rows: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """``row, id, one, two`` (the text's hash), the band keys and the sketch; a text's copies in a task come without keys."""
@@ -276,6 +273,120 @@ def links_of(pairs: DataFrame, paths: dict[int, str], threshold: float) -> DataF
                    .mapInPandas(verify(threshold), "a long, b long, similarity double"), "links")
 
 
+class Sets:
+    """Multisets of shingles as sets of numbers: a shingle's k-th occurrence has a number of its own."""
+
+    def __init__(self):
+        self.numbers: dict = {}
+
+    def own(self, text: str) -> tuple[set[int], int]:
+        """A text's numbers and their count."""
+        number, out = self.numbers.setdefault, set()
+        for s, n in shingles(text).items():
+            for k in range(n):
+                out.add(number((s, k), len(self.numbers)))
+        return out, len(out)
+
+    def guest(self, text: str) -> tuple[set[int], int]:
+        """The numbers that are known already (others are in no intersection), and the count of all."""
+        number, found, total = self.numbers.get, set(), 0
+        for s, n in shingles(text).items():
+            total += n
+            found.update(x for k in range(n) if (x := number((s, k))) is not None)
+        return found, total
+
+
+class Joined:
+    """Components joined so far in a task, by their labels."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def compare_group(threshold: float):
+    """Links between components, from rows sorted by group, chunk and ``visits`` (a chunk's own rows come first).
+
+    Texts whose sketches agree enough are compared, the most alike first,
+    unless links found before join their components already; only links
+    leave the task.
+    """
+    least = sketch_least(threshold)
+
+    def pairs(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows whose sketches agree enough, most alike first."""
+        differ = sum(np.bitwise_count((own[:, None, k] ^ other[None, :, k]) | (own[:, None, k + 1] ^ other[None, :, k + 1])).astype(np.int16)
+                     for k in (0, 2))
+        i, j = np.nonzero(differ <= SKETCHED - least)
+        order = np.argsort(differ[i, j], kind="stable")
+        return i[order], j[order]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def entries(some: pd.DataFrame, sets) -> list[tuple]:
+            return list(zip(some["component"].tolist(), map(sets, some["text"])))
+
+        def bits(some: pd.DataFrame) -> np.ndarray:
+            return some[SKETCH].to_numpy(np.int64).view(np.uint64)
+
+        def links(i, j, these, those):
+            out = []
+            for x, y in zip(i.tolist(), j.tolist()):
+                (label, (left, n)), (other, (right, m)) = these[x], those[y]
+                if joined.find(label) != joined.find(other):
+                    both = len(left & right)
+                    if both >= threshold * (n + m - both):
+                        joined.join(label, other)
+                        out.append((max(label, other), min(label, other)))
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        key, joined, sets, held, marks = None, Joined(), Sets(), [], np.zeros((0, 4), np.uint64)
+        for pdf in parts:
+            for at in range(0, len(pdf), COMPARED):
+                for part, now in pdf.iloc[at:at + COMPARED].groupby("key", sort=False):
+                    if part != key:
+                        key, joined, sets, held, marks = part, Joined(), Sets(), [], np.zeros((0, 4), np.uint64)
+                    mine, guests = now[now["visits"] == 0], now[now["visits"] == 1]
+                    if len(mine):
+                        new, own = entries(mine, sets.own), bits(mine)
+                        yield links(*pairs(marks, own), held, new)
+                        i, j = pairs(own, own)
+                        yield links(i[i < j], j[i < j], new, new)
+                        held += new
+                        marks = np.vstack([marks, own])
+                    if len(guests):
+                        yield links(*pairs(marks, bits(guests)), held, entries(guests, sets.guest))
+    return run
+
+
+def group_links(rows: DataFrame, paths: dict[int, str], threshold: float) -> DataFrame:
+    """``a, b``: components of ``rows(row, group, component, sketch)`` that a link joins, on whole texts.
+
+    A group is cut into chunks of CHUNK_ROWS texts (long ones count for
+    more); a text goes to its own chunk and visits the earlier ones.
+    """
+    needed = rows.select("row", block_of().alias("block"))
+    texts = written(needed.repartitionByRange(max(len(paths), 1), "block").sortWithinPartitions("block")
+                    .mapInPandas(_fetch(paths), "row long, text string"), "group-texts")
+    full = rows.join(texts, "row")
+    size = F.sum(1 + F.length("text") / ROW_CHARS)
+    chunks = full.groupBy("group").agg(F.ceil(size / CHUNK_ROWS).cast("int").alias("chunks"))
+    full = full.join(chunks, "group").withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    full = full.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    full = full.select("row", "component", *SKETCH, "text", (F.col("chunk") < F.col("own")).cast("int").alias("visits"),
+                       F.concat_ws("/", "group", "chunk").alias("key"))
+    return written(full.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key", "visits")
+                   .mapInPandas(compare_group(threshold), "a long, b long"), "group-links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``row, component`` (its smallest row) of every row in ``links(a, b)``.
 
@@ -325,25 +436,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep: list[st
     # buckets that still hold several components
     placed = written(shared.join(found, "row", "left").select(
         "bucket", "row", F.coalesce("component", "row").alias("component")), "placed")
-    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = (parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main"))
-             .where("parts > 1").select("bucket", F.col("main.component").alias("main")))
-    sketch = first.select("row", *SKETCH)
-    mixed = written(placed.join(split, "bucket").join(sketch, "row"), "mixed")
-    small = mixed.where("component <> main").select(F.col("bucket"), F.col("row").alias("x"), F.col("component").alias("own"),
-                                                    *[F.col(c).alias(f"x{c}") for c in SKETCH])
-    small = small.withColumnRenamed("bucket", "of")
-    met = small.join(mixed, (F.col("of") == F.col("bucket")) & (F.col("component") != F.col("own"))
-                     & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("row")))
-                     & (agreement("", "x") >= sketch_least(threshold)))
-    more = met.select(F.greatest("x", "row").alias("a"), F.least("x", "row").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if more.limit(1).count():
-        links = links.unionByName(links_of(more, paths, threshold))
-        found = components(links)
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = written(placed.join(split.where("lo <> hi").select("bucket", "lo"), "bucket"), "mixed")
+    met = mixed.where("component <> lo").select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct()
+    joined = None
+    if met.limit(1).count():
+        # components that mixed buckets connect are a group
+        groups = components(met).select(F.col("row").alias("label"), F.col("component").alias("group"))
+        rows = mixed.select("row", "component").distinct().join(groups, F.col("component") == F.col("label"))
+        more = group_links(rows.join(first.select("row", *SKETCH), "row"), paths, threshold)
+        if more.limit(1).count():
+            joined = components(more).select(F.col("row").alias("label"), F.col("component").alias("joined"))
 
     placed = members.join(found.withColumnRenamed("row", "text_row"), "text_row", "left").select(
         "row", "id", "text_row", F.coalesce("component", "text_row").alias("component"))
+    if joined is not None:
+        placed = placed.join(joined, F.col("component") == F.col("label"), "left").select(
+            "row", "id", "text_row", F.coalesce("joined", "component").alias("component"))
     totals = placed.groupBy("component").agg(F.min(F.struct("id", "row")).alias("least"), F.count(F.lit(1)).alias("class_size"))
 
     def real(c):

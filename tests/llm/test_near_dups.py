@@ -113,6 +113,20 @@ def test_rows_do_not_depend_on_the_partitioning(spark):
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
 
 
+def test_large_groups_in_chunks_lose_no_link(spark, monkeypatch):
+    """A dense group of edits whose similarities spread around the threshold, cut into many chunks."""
+    rng = random.Random(21)
+    base = prose(rng, 120)
+    texts = [base] + [edited(rng, base, rng.randint(1, 9)) for _ in range(70)]
+    texts += [edited(rng, rng.choice(texts), 2) for _ in range(30)]
+    want = classes(list(enumerate(texts)))
+    docs = documents(spark, texts).repartition(3)
+    assert found(docs) == want
+    for name, value in (("CHUNK_ROWS", 6), ("ROW_CHARS", 500), ("COMPARED", 4)):
+        monkeypatch.setattr(N, name, value)
+    assert found(docs) == want and 5 < len(want) < 90
+
+
 def test_bands_and_sketch_follow_the_threshold():
     assert N.banding(0.8) == (32, 4) and N.sketch_least(0.8) == 85
     for t in (0.05, 0.2, 0.5, 0.7, 0.8, 0.95, 1.0):

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from fundflow import functions as X
 from fundflow.operators import replay as R
 from fundflow.plans import jobs
-from fundflow.sources import lists
+from fundflow.sources import lists, versions
 
 
 def addresses(df):
@@ -93,6 +93,6 @@ def test_own_watch_list_brings_no_preset_roles(spark, tmp_path, capsys):
     jobs.main(["all", "--out", f"{ins}/out", "--transfers", f"{ins}/t", "--transactions", f"{ins}/x",
                "--watchlist", f"{ins}/w.csv", "--vaults", f"{ins}/v.txt"])
     assert "events without a readable time: 1" in capsys.readouterr().out
-    roles = {r.id: r.role for r in spark.read.json(f"{ins}/out/graph/nodes").collect()}
+    roles = {r.id: r.role for r in spark.read.json(versions.current(spark, f"{ins}/out/graph") + "/nodes").collect()}
     assert roles == {"0xa": "inter", "0xb": "inter", "0xv": "thorchain"}
-    assert spark.read.parquet(f"{ins}/out/actions").count() == 3
+    assert spark.read.parquet(versions.current(spark, f"{ins}/out/actions")).count() == 3

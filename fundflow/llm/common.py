@@ -1,8 +1,10 @@
 """Helpers shared by the operators of this package."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,34 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What a Python worker remembers between tasks, by operator: a call that lets go of it; and the operator it last worked for.
+_FORGET: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = []
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Names the call that drops what an operator's tasks remember in a worker."""
+    _FORGET[operator] = forget
+
+
+def works_for(operator: str) -> None:
+    """Called by an operator's tasks as they start.
+
+    A worker that turns to another operator lets go of what the former ones
+    remembered and hands freed memory back, so a chain of operators needs no
+    more of it than the largest of them.
+    """
+    if _LAST == [operator]:
+        return
+    for name, forget in _FORGET.items():
+        if name != operator:
+            forget()
+    _LAST[:] = [operator]
+    gc.collect()
+    with suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir`` (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

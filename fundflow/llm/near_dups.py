@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, block_of, block_texts, by_block, select_rows, write_blocks
-from .common import shuffle_width, written
+from .common import remembers, shuffle_width, works_for, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands at least, registers of a band at most; the probability that a pair at the threshold shares no band,
@@ -97,6 +97,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _HASHES: dict[str, int] = {}
+remembers("near duplicates", _HASHES.clear)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -188,6 +189,7 @@ def sign(bands: int, rows: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """``row, id, one, two`` (the text's hash), the band keys and the sketch; a text's copies in a task come without keys."""
         import xxhash
+        works_for("near duplicates")
         seen: set[tuple[int, int]] = set()
         for pdf in parts:
             texts = pdf["text"].tolist()

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, block_batches, block_of, block_texts, by_block, groups, rebuilt, write_blocks
-from .common import shuffle_width, written
+from .common import shuffle_width, works_for, written
 
 LENGTH, GRAM = 100, 36
 SIDE = GRAM - 4
@@ -184,6 +184,7 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 
 def send_runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step 2, map side: each (bucket, run) of a task once; later ones are gone, hot buckets are open."""
+    works_for("passages")
     held: list[dict] = []
     size = 0
 

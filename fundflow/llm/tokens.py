@@ -16,6 +16,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import remembers, works_for
+
 #: Runs longer than this many characters are encoded but not remembered.
 RUN_CHARS = 64
 #: Remembered runs per Python worker (about 150 bytes each).
@@ -131,10 +133,12 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+remembers("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and tokenizer file."""
+    works_for("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, written
+from .common import free_name, remembers, table, works_for, written
 
 #: Labelled documents that the classifier is fitted on, at most.
 MOST_LABELLED = 30_000
@@ -84,6 +84,7 @@ def classes(text: str) -> np.ndarray:
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of letter-class trigrams over all documents; ALPHABET**3 numbers."""
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        works_for("toxicity")
         total = np.zeros(ALPHABET ** 3, np.int64)
         for pdf in parts:
             rows = [t for t in pdf["text"] if t]
@@ -209,6 +210,17 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+#: The model that a worker scores with.
+_MODEL: list[Model] = []
+remembers("toxicity", lambda: [m.known.clear() for m in _MODEL] and None)
+
+
+def score_texts(model: Model, text: pd.Series) -> pd.Series:
+    works_for("toxicity")
+    _MODEL[:] = [model]
+    return text.map(model.score).astype(float)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -290,7 +302,7 @@ def score_documents(docs: DataFrame, model: Model, name: str = "toxic_score") ->
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return text.map(shared.value.score).astype(float)
+        return score_texts(shared.value, text)
 
     return docs.withColumn(name, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 

@@ -253,8 +253,9 @@ def _first_seen(tl: DataFrame, form: str = "packed") -> DataFrame:
 
     ``packed``: the least leading key per wallet by a hash aggregate, then the
     exact order among the rows that hold it (each task keeps one row per
-    wallet before the exchange).  ``struct``: one ``min`` of a struct, which
-    Spark sorts both sides of every event for.
+    wallet before the exchange).  Both read one exchange of the distinct
+    sides, so the source is scanned once.  ``struct``: one ``min`` of a
+    struct, which Spark sorts both sides of every event for.
     """
     e = event_endpoints(tl).where(F.col("address").isNotNull())
     if form == "struct":
@@ -262,6 +263,8 @@ def _first_seen(tl: DataFrame, form: str = "packed") -> DataFrame:
         return e.groupBy("address").agg(F.min(key).alias("f")).select("address", *[F.col(f"f.{c}") for c in SIGHTING])
     if form != "packed":
         raise ValueError(f"unknown form {form!r}")
+    # naming _m keeps the distinct sides whole in both branches, so that they share its exchange
+    e = e.groupBy("address", *SIGHTING).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 0)
     least = e.groupBy(F.col("address").alias("_a")).agg(F.min(leading_order()).alias("_least"))
     rows = e.join(least, (F.col("address") == F.col("_a")) & (leading_order() == F.col("_least")))
     w = Window.partitionBy("address").orderBy(*[F.col(c).asc_nulls_last() for c in SIGHTING])

@@ -225,6 +225,19 @@ def test_order_joins_keep_their_plan_at_any_size(spark, key):
         assert not ("BroadcastHashJoin" in line and "orderkey" in line), line
 
 
+def test_first_sightings_scan_their_source_once(spark):
+    from fundflow.operators import replay as R
+    path = scratch_path(spark, "t-first")
+    Stages(spark, SF001).timeline.write.parquet(path)
+    df = R._first_seen(spark.read.parquet(path))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for wallets that are too many to broadcast
+    df.collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    s = plan(df).split("== Initial Plan ==")[0]
+    assert s.count("Scan parquet") == 1 and s.count("ReusedExchange") == 1, s
+
+
 def test_edge_roles_need_no_wallet_totals(spark):
     s = plan(catalog.queries()["J4_edge_with_roles"](spark, SF001))
     assert "sum(" not in s and "count(1)" not in s

@@ -66,3 +66,6 @@ SPLITTER_SAMPLES = 32
 GRID_BLOCK = 100_000
 # Equal rows are written out again in pieces of at most this many.
 REPEATS_PER_PIECE = 65_536
+# A query that reads the action table more than once stores it when made from
+# more order lines than this; from fewer, extracting it again is the cheaper.
+REREAD_MAX_LINES = 1_000_000

@@ -35,9 +35,14 @@ class Stages:
     """Lazily built stages of the fund-flow pipeline over one input set."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, profile: str = DEFAULT_PROFILE):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.inputs = fixtures.load(spark, sf_dir, profile)
 
+    @cached_property
+    def line_count(self) -> int:
+        """Rows of the largest table read (from its footers): what decides if the action table is stored."""
+        return fixtures.line_count(self.spark, self.sf_dir)
+
     @cached_property
     def watch(self) -> Membership:
         return Membership(self.inputs.watchlist)
@@ -48,10 +53,11 @@ class Stages:
 
     @cached_property
     def actions(self) -> DataFrame:
-        """The action table, as a plan: building a query writes nothing.
+        """The action table, as a plan.
 
         The batch jobs (``plans.jobs``) store it instead, once for all their
-        outputs.
+        outputs, and so does a query that reads it more than once from large
+        tables (``_reread``).
         """
         i = self.inputs
         return A.actions(i.transfers, i.transactions, self.watch, self.vault)
@@ -209,6 +215,21 @@ def _roundtrip_graph(p: Stages) -> tuple[DataFrame, DataFrame]:
     return readers.read_graph(p.spark, path)
 
 
+def _reread(fn: Callable[[Stages], DataFrame]) -> Callable[[Stages], DataFrame]:
+    """A query that reads the action table more than once (bounds, counts, samples, nodes beside events).
+
+    Extracting the table exchanges a good part of the input, so from large
+    inputs it is extracted once and stored, and every reading is a scan of
+    what was stored.  From small ones, building a query writes nothing.
+    """
+    def run(p: Stages) -> DataFrame:
+        if p.line_count > C.REREAD_MAX_LINES:
+            p.actions = _roundtrip_actions(p)
+        return fn(p)
+    run.__doc__ = fn.__doc__
+    return run
+
+
 # --- the catalog ------------------------------------------------------------------
 def _q(fn: Callable[[Stages], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,8 +247,8 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "S5_roles": lambda p: lists.roles_from(p.spark.read.parquet(p.stored.roles)),
     "S6_write_actions": _written_actions,
     "S7_scan_actions": _roundtrip_actions,
-    "S8_write_graph": lambda p: _roundtrip_graph(p)[0],
-    "S9_read_graph": lambda p: _roundtrip_graph(p)[1],
+    "S8_write_graph": _reread(lambda p: _roundtrip_graph(p)[0]),
+    "S9_read_graph": _reread(lambda p: _roundtrip_graph(p)[1]),
     "S10_preview": lambda p: sinks.preview(p.actions.orderBy(
         "block_time", "tx_hash", "from_address", "to_address", "amount", "label")),
     # projections / filters
@@ -247,10 +268,10 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "F1_both_endpoints_watched": lambda p: A.mutual_transfers(p.inputs.transfers, p.watch),
     "F2_calls_into_vault": lambda p: A.vault_calls(p.inputs.transactions, p.vault),
     "F3_is_exit": lambda p: R.is_exit(p.timeline),
-    "F4_as_of": lambda p: R.as_of(p.timeline, position=AS_OF_POSITION),
+    "F4_as_of": _reread(lambda p: R.as_of(p.timeline, position=AS_OF_POSITION)),
     "F5_role_filter": lambda p: G.role_filter(p.nodes, C.ROLE_ATTACKER),
-    "F6_wallet_detail": lambda p: G.wallet_detail(p.nodes, busiest_wallet(p.nodes)),
-    "F7_transfer_detail": lambda p: R.transfer_detail(p.timeline, most_traced_hash(p.timeline)),
+    "F6_wallet_detail": _reread(lambda p: G.wallet_detail(p.nodes, busiest_wallet(p.nodes))),
+    "F7_transfer_detail": _reread(lambda p: R.transfer_detail(p.timeline, most_traced_hash(p.timeline))),
     "F6_stored_wallet": _stored_wallet,
     "F7_stored_transfer": _stored_transfer,
     "F8_labelled_amount": lambda p: p.timeline.select(
@@ -269,33 +290,33 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "A4_wallet_stats": lambda p: p.nodes,
     "A5_distinct_wallets": lambda p: G.distinct_wallets(p.actions),
     "A6_role_counts": lambda p: G.role_counts(p.nodes),
-    "A7_graph_summary": lambda p: G.graph_summary(p.nodes, p.edges),
+    "A7_graph_summary": _reread(lambda p: G.graph_summary(p.nodes, p.edges)),
     "A8_time_bounds": lambda p: R.time_bounds(p.timeline),
-    "A9_flow_totals": lambda p: R.flow_totals(p.timeline, p.nodes),
+    "A9_flow_totals": _reread(lambda p: R.flow_totals(p.timeline, p.nodes)),
     "A10_pair_counts": lambda p: R.pair_counts(p.timeline),
     "A11_wallet_usd_totals": lambda p: G.wallet_usd_totals(p.actions),
     # windows
-    "W1_pair_sequence": lambda p: R.pair_sequence(p.timeline),
-    "W2_global_sequence": lambda p: R.global_sequence(p.timeline),
-    "W3_running_totals": lambda p: R.running_totals(p.timeline),
-    "W4_running_wallet_totals": lambda p: R.running_wallet_totals(p.timeline),
-    "W3_null_amounts": lambda p: R.running_totals(_some_null(p.timeline)),
-    "W4_null_amounts": lambda p: R.running_wallet_totals(_some_null(p.timeline)),
-    "W5_first_appearance": lambda p: R.first_appearance(p.timeline),
-    "W6_lane_index": lambda p: R.lane_index(p.timeline, p.nodes),
+    "W1_pair_sequence": _reread(lambda p: R.pair_sequence(p.timeline)),
+    "W2_global_sequence": _reread(lambda p: R.global_sequence(p.timeline)),
+    "W3_running_totals": _reread(lambda p: R.running_totals(p.timeline)),
+    "W4_running_wallet_totals": _reread(lambda p: R.running_wallet_totals(p.timeline)),
+    "W3_null_amounts": _reread(lambda p: R.running_totals(_some_null(p.timeline))),
+    "W4_null_amounts": _reread(lambda p: R.running_wallet_totals(_some_null(p.timeline))),
+    "W5_first_appearance": _reread(lambda p: R.first_appearance(p.timeline)),
+    "W6_lane_index": _reread(lambda p: R.lane_index(p.timeline, p.nodes)),
     # replay / as-of
-    "T1_snapshot": lambda p: R.snapshot(p.timeline, p.nodes, position=AS_OF_POSITION),
-    "T1_null_amounts": lambda p: R.snapshot(_some_null(p.timeline), p.nodes, position=AS_OF_POSITION),
-    "T2_totals_at": lambda p: R.totals_at(p.timeline, p.nodes, position=AS_OF_POSITION),
-    "T1_stored_snapshot": _stored_snapshot,
-    "T2_stored_totals": _stored_totals,
-    "F4_stored_as_of": _stored_as_of,
-    "T3_frames": lambda p: R.frames(p.timeline, p.nodes),
-    "T4_activation_play": lambda p: R.activation(p.timeline, p.nodes, "play"),
-    "T4_activation_scrub": lambda p: R.activation(p.timeline, p.nodes, "scrub"),
-    "T5_transfer_state": lambda p: R.transfer_state(p.timeline, position=AS_OF_POSITION),
-    "T6_inflight_at": lambda p: R.inflight_at(p.timeline, p.nodes),
-    "T7_scrub_position": lambda p: R.scrub_positions(p.timeline),
+    "T1_snapshot": _reread(lambda p: R.snapshot(p.timeline, p.nodes, position=AS_OF_POSITION)),
+    "T1_null_amounts": _reread(lambda p: R.snapshot(_some_null(p.timeline), p.nodes, position=AS_OF_POSITION)),
+    "T2_totals_at": _reread(lambda p: R.totals_at(p.timeline, p.nodes, position=AS_OF_POSITION)),
+    "T1_stored_snapshot": _reread(_stored_snapshot),
+    "T2_stored_totals": _reread(_stored_totals),
+    "F4_stored_as_of": _reread(_stored_as_of),
+    "T3_frames": _reread(lambda p: R.frames(p.timeline, p.nodes)),
+    "T4_activation_play": _reread(lambda p: R.activation(p.timeline, p.nodes, "play")),
+    "T4_activation_scrub": _reread(lambda p: R.activation(p.timeline, p.nodes, "scrub")),
+    "T5_transfer_state": _reread(lambda p: R.transfer_state(p.timeline, position=AS_OF_POSITION)),
+    "T6_inflight_at": _reread(lambda p: R.inflight_at(p.timeline, p.nodes)),
+    "T7_scrub_position": _reread(lambda p: R.scrub_positions(p.timeline)),
     # order / limit
     "O1_timeline_order": lambda p: R.timeline_order(p.timeline),
     "O2_preview": lambda p: sinks.preview(R.timeline_order(p.timeline)),

@@ -142,6 +142,11 @@ def load(spark: SparkSession, sf_dir: str, profile: str = "scale") -> Inputs:
     return Inputs(transfers, transactions, watchlist, vaults, roles)
 
 
+def line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Number of order lines, from the file footers."""
+    return _table(spark, sf_dir, "lineitem").count()
+
+
 class Stored(NamedTuple):
     """Paths of the inputs as an outside system might have stored them."""
     transfers: str

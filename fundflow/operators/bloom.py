@@ -54,8 +54,10 @@ class Bloom:
         if self.filter is None:
             return df
         for c in columns:
-            mask = _bits(F.col(c))
+            key = F.col(c).outer()
+            mask = _bits(key)
             side = F.broadcast(self.filter)  # at most MOST_WORDS rows
-            df = df.join(side, (_word(F.col(c), self.words) == F.col("_f_word"))
-                         & (F.col("_f_bits").bitwiseAND(mask) == mask), "left_semi")
+            # a predicate (planned as a semi-join), so that it moves below projections and joins
+            df = df.where(side.where((_word(key, self.words) == F.col("_f_word"))
+                                     & (F.col("_f_bits").bitwiseAND(mask) == mask)).exists())
         return df

@@ -67,15 +67,24 @@ class Membership:
 
     # -- relational forms ----------------------------------------------------
     def semi(self, df: DataFrame, *columns: str) -> DataFrame:
-        """Rows of ``df`` whose ``columns`` are all in the list."""
+        """Rows of ``df`` whose ``columns`` are all in the list.
+
+        IN-sets, broadcast lists and Bloom filters are predicates (a list as
+        an IN subquery, planned as a semi-join): Catalyst moves a predicate
+        below projections that compute and below joins, where it moves no
+        semi-join.  The exact join of a list too long to broadcast stays
+        where it is, so only rows that are left by then are exchanged for it.
+        """
         if self.mode == "shuffle":
             df = self.bloom.keep(df, *columns)  # all columns before the first exchange
         for col in columns:
             if self.is_inlist:
                 df = df.where(self.test(col))
-                continue
-            side = self._side()
-            df = df.join(side, F.col(col) == side["_m_key"], "left_semi")
+            elif self.mode == "broadcast":
+                df = df.where(F.col(col).isin(self._side().select("_m_key")))
+            else:
+                side = self._side()
+                df = df.join(side, F.col(col) == side["_m_key"], "left_semi")
         return df
 
     def flag(self, df: DataFrame, col: str, name: str) -> DataFrame:

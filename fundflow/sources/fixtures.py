@@ -88,24 +88,27 @@ def load(spark: SparkSession, sf_dir: str, profile: str = "scale") -> Inputs:
     customer = _table(spark, sf_dir, "customer")
     supplier = _table(spark, sf_dir, "supplier")
 
-    # Every column of a transfer is made on its own side of the join and only
-    # passed on above it: a list test on an end then moves below the join and
-    # drops rows before their exchange.  Neither table is small by nature, so
-    # both joins by order key are planned alike at any size.
+    # Texts are made above the join by order key, so that its exchange and sort
+    # carry keys and numbers only; a list test on an end is a predicate, which
+    # moves below the join with the text it tests and drops rows before their
+    # exchange.  Neither table is small by nature, so both joins by order key
+    # are planned alike at any size.
     receiver_key = F.col("l_partkey") if p["receiver_mod"] is None else F.col("l_partkey") % p["receiver_mod"]
     cents = F.col("l_extendedprice").cast("decimal(18,2)")
-    lines = lineitem.select(
-        "l_orderkey", tx_hash(F.col("l_orderkey")).alias("tx_hash"),
-        F.when(F.col("l_returnflag") == "R", vault_address(F.col("l_suppkey")))
-         .otherwise(wallet_address(receiver_key)).alias("to_address"),
-        (cents * F.lit(0.01).cast("decimal(3,2)")).cast(C.MONEY_TYPE).alias("amount"),
-        # to the cent first: engines differ in how a binary double widens
-        # to 18 decimals, not in how it rounds to 2
-        cents.cast(C.MONEY_TYPE).alias("amount_usd"))
-    heads = orders.select("o_orderkey", block_time(F.col("o_orderdate"), F.col("o_orderkey")).alias("block_time"),
-                          wallet_address(F.col("o_custkey")).alias("from_address"))
-    transfers = (lines.join(heads.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-                 .select("tx_hash", "block_time", "from_address", "to_address", "amount", "amount_usd"))
+    transfers = (
+        lineitem.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(
+            tx_hash(F.col("l_orderkey")).alias("tx_hash"),
+            block_time(F.col("o_orderdate"), F.col("o_orderkey")).alias("block_time"),
+            wallet_address(F.col("o_custkey")).alias("from_address"),
+            F.when(F.col("l_returnflag") == "R", vault_address(F.col("l_suppkey")))
+             .otherwise(wallet_address(receiver_key)).alias("to_address"),
+            (cents * F.lit(0.01).cast("decimal(3,2)")).cast(C.MONEY_TYPE).alias("amount"),
+            # to the cent first: engines differ in how a binary double widens
+            # to 18 decimals, not in how it rounds to 2
+            cents.cast(C.MONEY_TYPE).alias("amount_usd"),
+        )
+    )
 
     first_vault = (lineitem.where(F.col("l_returnflag") == "R")
                    .groupBy("l_orderkey").agg(F.min("l_suppkey").alias("sk")))

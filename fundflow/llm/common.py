@@ -74,15 +74,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """A query that is run inside deletes its shuffle files as it ends; for queries whose result is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
     Cuts lineage: later jobs read the files, so a lost executor costs a
-    re-read and not a recomputation.
+    re-read and not a recomputation, and the shuffle files that the table was
+    made from go as soon as it is stored.
     """
     spark = df.sparkSession
     path = made_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

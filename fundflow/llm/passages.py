@@ -23,7 +23,8 @@ apart; only suffixes whose bucket others share go on.
    those of other blocks in a second exchange, by 96 bits of content hash.
 4. Removed spans return to their block and the results are made.
 
-Hot passages: a task sends each (bucket, run) and each string once, and a
+Hot passages: a task sends each (bucket, run) and each string once, what is
+decided already as stretches of text and not run by run, and a
 q-gram that has many different runs in one task goes straight to step 3
 with one marker sent in its place, so no key of an exchange has more rows
 than a small multiple of the tasks.
@@ -164,7 +165,9 @@ def leading_runs(texts: list[bytes]) -> dict[str, np.ndarray]:
             "run": run.astype(np.int64), "left": left, "right": right, "turn": turn}
 
 
-SENT = "key long, kind int, run long, id long, start int, count int, turn int, left int, right int, row long"
+#: ``span``: count and turn, ``sides``: left and right, 32 bits each.
+SENT = "key long, kind int, run long, id long, start int, span long, sides long, row long"
+STRING = "key long, more int, gone boolean, id long, start int, count int, row long"
 SPAN = "row long, start int, count int, open boolean"
 
 
@@ -182,6 +185,21 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _both(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One long of two 32-bit numbers."""
+    return high << 32 | low & 0xFFFFFFFF
+
+
+def _stretches(at: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, *keys: np.ndarray) -> tuple:
+    """``(places, counts)``: of the spans at places ``at`` (in text order), those that follow on each other as one."""
+    if not len(at):
+        return at, count[at]
+    new = _firsts(row[at], *(k[at] for k in keys))
+    new[1:] |= start[at][1:] != (start + count)[at][:-1]
+    first = np.flatnonzero(new)
+    return at[first], np.add.reduceat(count[at], first)
+
+
 def send_runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step 2, map side: each (bucket, run) of a task once; later ones are gone, hot buckets are open."""
     works_for("passages")
@@ -191,29 +209,26 @@ def send_runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush():
         r = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         order = np.lexsort((r["start"], r["id"], r["run"], r["gram"]))
-        r = {k: v[order] for k, v in r.items()}
-        new = _firsts(r["gram"], r["run"])
-        begin = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
-        earliest = begin[of]
-        again = (r["id"] != r["id"][earliest]) | (r["start"] != r["start"][earliest])
-        gram_new = _firsts(r["gram"])
+        gram, run, ids, start = (r[k][order] for k in ("gram", "run", "id", "start"))
+        new = _firsts(gram, run)
+        earliest = np.flatnonzero(new)[np.cumsum(new) - 1]
+        again = (ids != ids[earliest]) | (start != start[earliest])
+        gram_new = _firsts(gram)
         group = np.cumsum(gram_new) - 1
         hot = (np.bincount(group, weights=new) >= HOT_RUNS)[group]
-        kind = np.where(again, GONE, np.where(hot, OPEN, RUN))
         # identical (bucket, run, id, start) of repeated rows: each row is kept
-        pieces = [(np.arange(len(kind)), kind)]
-        marks = np.flatnonzero(gram_new & hot)
-        if len(marks):
-            pieces.append((marks, np.full(len(marks), MARK)))
-        for at, k in pieces:
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.where(again, GONE, np.where(hot, OPEN, RUN))
+        own, marks = np.flatnonzero(kind == RUN), order[gram_new & hot]
+        passed, counts = _stretches(np.flatnonzero(kind != RUN), r["row"], r["start"], r["count"], kind)
+        for at, k, count in ((own, kind[own], r["count"][own]), (passed, kind[passed], counts),
+                             (marks, np.full(len(marks), MARK), np.zeros(len(marks), np.int64))):
             spread = _mix(r["row"][at].astype(np.uint64) * _A + r["start"][at].astype(np.uint64)).astype(np.int64)
             key = np.where((k == RUN) | (k == MARK), r["gram"][at], spread)
             yield pd.DataFrame({
                 "key": key, "kind": k.astype(np.int32), "run": np.where(k == RUN, r["run"][at], 0), "id": r["id"][at],
-                "start": r["start"][at].astype(np.int32), "count": r["count"][at].astype(np.int32),
-                "turn": r["turn"][at].astype(np.int32), "left": _low32(r["left"][at]), "right": _low32(r["right"][at]),
-                "row": r["row"][at]})
+                "start": r["start"][at].astype(np.int32), "span": _both(count, np.where(k == RUN, r["turn"][at], 0)),
+                "sides": np.where(k == RUN, _both(r["left"][at], r["right"][at]), 0), "row": r["row"][at]})
 
     for pdf in parts:
         rows = list(zip(pdf["row"].tolist(), pdf["id"].tolist(), (t.encode("utf-8", "surrogatepass") for t in pdf["text"])))
@@ -262,6 +277,8 @@ def judge_runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step 2, reduce side, rows sorted by (key, run, id, start)."""
     for pdf in groups(parts, "key"):
         c = {k: pdf[k].to_numpy() for k in pdf.columns}
+        for packed, high, low in (("span", "count", "turn"), ("sides", "left", "right")):
+            c[high], c[low] = c[packed] >> 32, c[packed] & 0xFFFFFFFF
         passed = (c["kind"] == GONE) | (c["kind"] == OPEN)
         outs = [(c["row"][passed], c["start"][passed], c["count"][passed], c["kind"][passed] == OPEN)]
         keep = ~passed
@@ -334,10 +351,17 @@ def _refined(held: list[tuple]) -> pd.DataFrame:
     earliest = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     again = np.zeros(len(of), bool)
     again[order] = (ids[order] != ids[earliest]) | (starts[order] != starts[earliest])
-    one, two = gram_hashes(data, LENGTH, 5)[at].astype(np.int64), gram_hashes(data, LENGTH, 11)[at]
-    spread = _mix(rows.astype(np.uint64) * _A + starts.astype(np.uint64)).astype(np.int64)
-    return pd.DataFrame({"key": np.where(again, spread, one), "more": np.where(again, 0, _low32(two)).astype(np.int32),
-                         "gone": again, "id": ids, "start": starts.astype(np.int32), "row": rows})
+    single = np.ones(len(of), np.int64)
+    own = np.flatnonzero(~again)
+    passed, count = _stretches(np.flatnonzero(again), rows, starts, single)
+    at, n = at[own], len(own)
+    spread = _mix(rows[passed].astype(np.uint64) * _A + starts[passed].astype(np.uint64)).astype(np.int64)
+    pick = np.concatenate([own, passed])
+    return pd.DataFrame({
+        "key": np.concatenate([gram_hashes(data, LENGTH, 5)[at].astype(np.int64), spread]),
+        "more": np.concatenate([_low32(gram_hashes(data, LENGTH, 11)[at]), np.zeros(len(passed), np.int32)]),
+        "gone": np.arange(len(pick)) >= n, "id": ids[pick], "start": starts[pick].astype(np.int32),
+        "count": np.concatenate([single[own], count]).astype(np.int32), "row": rows[pick]})
 
 
 def judge_strings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,8 +371,8 @@ def judge_strings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new = _firsts(c["key"], c["more"], c["gone"])
         earliest = np.flatnonzero(new)[np.cumsum(new) - 1]
         gone = c["gone"] | (c["id"] != c["id"][earliest]) | (c["start"] != c["start"][earliest])
-        yield pd.DataFrame({"row": c["row"][gone], "start": c["start"][gone],
-                            "count": np.ones(gone.sum(), np.int32), "open": np.zeros(gone.sum(), bool)})
+        yield pd.DataFrame({"row": c["row"][gone], "start": c["start"][gone], "count": c["count"][gone],
+                            "open": np.zeros(gone.sum(), bool)})
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -425,7 +449,7 @@ def repeated_spans(docs: DataFrame, keep: list[str] = ()) -> tuple[DataFrame | N
                    .mapInPandas(judge_runs, SPAN).withColumn("block", block), "runs")
     opened = (runs.where("open").select("block", "row", "start", "count")
               .repartitionByRange(len(paths), "block").sortWithinPartitions("block"))
-    strings = opened.mapInPandas(open_strings(paths), "key long, more int, gone boolean, id long, start int, row long")
+    strings = opened.mapInPandas(open_strings(paths), STRING)
     gone = (strings.repartition(n, "key").sortWithinPartitions("key", "more", "gone", "id", "start")
             .mapInPandas(judge_strings, SPAN).withColumn("block", block))
     each = spark.createDataFrame([(-1, 0, 0, False, b) for b in paths], runs.schema)

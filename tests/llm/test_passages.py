@@ -1,12 +1,15 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from helpers import awkward, documents, prose, with_clashes
+from pyspark.sql import functions as F
 
 from fundflow.llm import passages as P
+from fundflow.llm.common import written
 
 
 def brute(rows):
@@ -118,3 +121,36 @@ def test_long_text_in_parts():
     some = list(P.long_parts([text], most=1000))
     got = sorted((int(s) + k) for r in some for s, c in zip(r["start"], r["count"]) for k in range(c))
     assert got == list(range(len(text) - 99))
+
+
+def test_decided_runs_travel_as_stretches():
+    """What a task decides alone (repeats inside it) is sent as stretches of text, not run by run or string by string."""
+    rng = random.Random(11)
+    text = prose(rng, 400)
+    texts = [text, text, text + prose(rng, 5)]
+    sent = pd.concat(list(P.send_runs(iter([pd.DataFrame({"row": range(3), "id": range(3), "text": texts})]))))
+    gone = sent[sent["kind"] == P.GONE]
+    assert (sent["kind"] == P.RUN).sum() > 20 and len(gone) == 2
+    strings = P._refined([(k, k, 0, len(text) - 99, text.encode()) for k in range(2)])
+    assert strings["gone"].sum() == 1 and strings.loc[strings["gone"], "count"].tolist() == [len(text) - 99]
+
+
+def test_shuffle_files_of_a_stored_table_go(spark):
+    """A table that is stored doesn't leave the shuffle it was made from on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffles()
+    made = written(spark.range(1000).repartition(7, "id").withColumn("rest", F.col("id") % 3), "shuffled")
+    deadline = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert made.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
